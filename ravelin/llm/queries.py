@@ -11,15 +11,47 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_pieces(spark, sf_dir).where("piece_no = 0").select("id").distinct()
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.splitting import split_oversized
+
+    return split_oversized(_table(spark, sf_dir, "chunks"), limit=1500, overlap=150)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.contributor_cap import dropped
+
+    return dropped(_table(spark, sf_dir, "chunks"), "filename", "score", "id", cap=20)
+
+
+def p5_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that stay, as full records."""
+    from ravelin.llm.contributor_cap import capped
+
+    return capped(_table(spark, sf_dir, "chunks"), "filename", "score", "id", cap=20)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravelin.llm.lookalikes import same_looking_pairs
 
     return same_looking_pairs(_table(spark, sf_dir, "chunks"), "id", ["filename", "text"])
 
 
+#: Chunks once each, with their place among those of the same file.
+RANKED = """WITH once AS (SELECT DISTINCT id, text, filename, embedding, score, rrf_raw FROM chunks),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY score IS NULL OR isnan(score), CASE WHEN isnan(score) THEN NULL ELSE score END DESC NULLS LAST, id) AS n FROM once)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": "SELECT DISTINCT id FROM chunks WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 1500",
+        "p5_found": f"{RANKED} SELECT id FROM ranked WHERE n > 20 AND filename IS NOT NULL",
+        "p5_capped": f"{RANKED} SELECT id, text, filename, embedding, score, rrf_raw FROM ranked WHERE n <= 20 OR filename IS NULL",
+    }
