@@ -5,12 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.near_duplicates import similar_pairs
+
+    return similar_pairs(_table(spark, sf_dir, "chunks"), "id", "text", threshold=0.7, min_words=40)
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per chunk with its group of near duplicates."""
+    from ravelin.llm.near_duplicates import groups
+
+    return groups(_table(spark, sf_dir, "chunks"), "id", "text", threshold=0.7, min_words=40)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pieces(spark, sf_dir).where("piece_no = 0").select("id").distinct()
 
@@ -40,6 +54,49 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looking_pairs(_table(spark, sf_dir, "chunks"), "id", ["filename", "text"])
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_containers(spark, sf_dir).where("pieces > 1 and piece = 0").select(F.col("id").alias("doc_id"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.packing import packed
+
+    return packed(_table(spark, sf_dir, "documents"), "doc_id", "text", capacity=2048)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    from ravelin.llm.packing import fill_report
+
+    return fill_report(p7_containers(spark, sf_dir), 2048)
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from ravelin.llm.mixing import measured, plan
+
+    docs = measured(_table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return docs, plan(docs, _table(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_report(spark, sf_dir).where("short").select("source")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the mix and how often each is used."""
+    from ravelin.llm.mixing import selected
+
+    return selected(*_mix(spark, sf_dir), seed=8)
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached."""
+    from ravelin.llm.mixing import report, selected
+
+    docs, planned = _mix(spark, sf_dir)
+    return report(selected(docs, planned, seed=8), planned)
+
+
 #: Chunks once each, with their place among those of the same file.
 RANKED = """WITH once AS (SELECT DISTINCT id, text, filename, embedding, score, rrf_raw FROM chunks),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY score IS NULL OR isnan(score), CASE WHEN isnan(score) THEN NULL ELSE score END DESC NULLS LAST, id) AS n FROM once)"""
