@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,15 @@ _written: set[str] = set()
 _local: dict[str, str] = {}
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers find this package where it lies for the driver, even if it's neither installed nor in the working directory."""
+    here = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (here, env.get("PYTHONPATH", ""))))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Only a local session without that setting gets a folder of its own.
 
@@ -30,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="ravelin-")
         spark.sparkContext.setCheckpointDir(_local[app])
-        atexit.register(__import__("shutil").rmtree, _local[app], True)
+        atexit.register(shutil.rmtree, _local[app], True)
     return _local[app]
 
 
