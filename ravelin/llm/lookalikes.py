@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,8 +88,8 @@ def pairs() -> Iterator[tuple[str, str]]:
         kind, *parts = (ud.decomposition(x) or "none").split()
         if kind == "<compat>" and len(k := ud.normalize("NFKC", x)) > 1 and k.isalpha() and ud.name(x, "").startswith("LATIN"):
             yield x, k
-        elif kind == "<compat>" and ud.category(x) == "Nl" and ud.name(x, "").startswith(("ROMAN NUMERAL", "SMALL ROMAN NUMERAL")):
-            yield x, ud.normalize("NFKC", x)
+        elif kind == "<compat>" and ud.category(x) == "Nl" and len(k := ud.normalize("NFKC", x)) == 1:  # Roman numerals of one letter
+            yield x, k
         elif not kind.startswith("<") and kind != "none" and not parts and not 0xF900 <= c < 0xFB00:
             yield x, chr(int(kind, 16))
 
@@ -120,9 +121,27 @@ def classes() -> list[list[str]]:
     return u.classes()
 
 
-def _codes(texts: pa.Array) -> np.ndarray:
-    """The code points of all texts with a zero before each, so that no string is found across two texts."""
-    return np.frombuffer(("\0" + "\0".join(x for x in texts.to_pylist() if x)).encode("utf-32-le", "surrogatepass"), np.uint32)
+def trigger_of(x: str) -> str:
+    """The rarest kind of sign in a member: a combining mark, else one beyond ASCII, else the first. A text without it can't contain the member."""
+    return next((c for c in x if ud.combining(c)), next((c for c in x if ord(c) > 127), x[0]))
+
+
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a string array."""
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], width)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = texts.buffers()[2]
+    return offsets, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+
+
+def beyond_ascii(data: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte position and code point of each sign beyond ASCII in valid UTF-8."""
+    at = np.flatnonzero(data[start:stop] >= 0xC0) + start
+    tail = np.concatenate((data[:stop], np.zeros(3, np.uint8))) if len(at) and at[-1] + 3 >= len(data) else data
+    b = tail[at].astype(np.uint32)
+    c = [tail[at + k].astype(np.uint32) & 0x3F for k in (1, 2, 3)]
+    two, three = (b & 0x1F) << 6 | c[0], (b & 0x0F) << 12 | c[0] << 6 | c[1]
+    return at, np.where(b < 0xE0, two, np.where(b < 0xF0, three, (b & 0x07) << 18 | c[0] << 12 | c[1] << 6 | c[2]))
 
 
 def member_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -132,24 +151,32 @@ def member_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     longer = defaultdict(list)
     for x in wanted:
         if len(x) > 1:
-            longer[next((c for c in x if ord(c) > 127), x[0])].append(x)
+            longer[trigger_of(x)].append(x)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, strings = np.zeros(sys.maxunicode + 1, np.int64), defaultdict(int)
         for batch in batches:
             for column in batch.columns:
-                codes = _codes(column)
+                offsets, data = utf8(column)
+                text = data[offsets[0] : offsets[-1]]
+                total[:128] += np.bincount(text, minlength=256)[:128]
+                at, codes = beyond_ascii(data, int(offsets[0]), int(offsets[-1]))
                 here = np.bincount(codes, minlength=1)
                 total[: len(here)] += here
+                raw = text.tobytes()
                 for trigger, found in longer.items():
-                    if ord(trigger) < len(here) and here[ord(trigger)]:
-                        k = np.flatnonzero(codes == ord(trigger))
+                    if trigger.isascii():
+                        for x in found:
+                            strings[x] += raw.count(x.encode())
+                    elif ord(trigger) < len(here) and here[ord(trigger)]:
+                        k = at[codes == ord(trigger)]
                         for x in found:
-                            at = k - x.index(trigger)
-                            at = at[(at >= 0) & (at + len(x) <= len(codes))]
-                            for j, c in enumerate(x):
-                                at = at[codes[at + j] == ord(c)]
-                            strings[x] += len(at)
+                            form = np.frombuffer(x.encode(), np.uint8)
+                            begin = k - len(x[: x.index(trigger)].encode())
+                            begin = begin[(begin >= offsets[0]) & (begin + len(form) <= offsets[-1])]
+                            for j, byte in enumerate(form):
+                                begin = begin[data[begin + j] == byte]
+                            strings[x] += len(begin)
         rows = [(chr(c), int(total[c])) for c in single if total[c]] + [(x, n) for x, n in strings.items() if n]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["member", "n"])
 
@@ -168,12 +195,35 @@ class Rewriter:
         gone = invisible()
         self.gone = str.maketrans("", "", gone)
         self.any_gone = re.compile(f"[{re.escape(gone)}]")
-        first = {next((c for c in x if ord(c) > 127), x[0]) for x in self.rewrites}
+        first = {trigger_of(x) for x in self.rewrites}
         self.any_pattern = re.compile(f"[{re.escape(''.join(sorted(first)))}]")
-        self._automaton = None
+        self.first, self.plain = first, any(x.isascii() for x in first)
+        self._automaton = self._unusual = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_automaton": None}
+        return self.__dict__ | {"_automaton": None, "_unusual": None}
+
+    @property
+    def unusual(self) -> np.ndarray:
+        """For each code point whether a text with it may be changed."""
+        if self._unusual is None:
+            self._unusual = np.zeros(sys.maxunicode + 1, bool)
+            self._unusual[[ord(c) for c in (*self.first, *map(chr, self.gone))]] = True
+        return self._unusual
+
+    def column(self, texts: pa.Array) -> pa.Array:
+        """All texts rewritten; those without unusual signs are recognised by their bytes and passed on."""
+        offsets, data = utf8(texts)
+        if self.plain or not len(texts):
+            return pa.array([self(x) for x in texts.to_pylist()], pa.string())
+        at, codes = beyond_ascii(data, int(offsets[0]), int(offsets[-1]))
+        change = np.unique(np.searchsorted(offsets, at[self.unusual[codes]], "right") - 1)
+        if not len(change):
+            return texts
+        new = [self(x) for x in texts.take(pa.array(change)).to_pylist()]
+        mask = np.zeros(len(texts), bool)
+        mask[change] = True
+        return pc.replace_with_mask(texts, pa.array(mask), pa.array(new, texts.type))
 
     @property
     def automaton(self):  # noqa: ANN201
@@ -212,7 +262,7 @@ def rewritten(df: DataFrame, columns: list[str], rewriter: Rewriter | None = Non
 
     @F.arrow_udf("string")
     def form(texts: pa.Array) -> pa.Array:
-        return pa.array([r(x) for x in texts.to_pylist()], pa.string())
+        return r.column(texts)
 
     return df.withColumns({c: form(F.col(f"`{c}`")) for c in columns})
 
