@@ -12,6 +12,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.similar_vectors import neighbour_pairs
+
+    return neighbour_pairs(_table(spark, sf_dir, "test"), "id", "vector", dims=64, k=10, least=0.85)
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 10 neighbours of every usable point."""
+    from ravelin.llm.similar_vectors import neighbours
+
+    return neighbours(_table(spark, sf_dir, "test"), "id", "vector", dims=64, k=10, least=0.85)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravelin.llm.near_duplicates import similar_pairs
 
@@ -35,6 +48,12 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(_table(spark, sf_dir, "chunks"), limit=1500, overlap=150)
 
 
+def p4_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.variety import varied_subset
+
+    return varied_subset(_table(spark, sf_dir, "test"), "id", "vector", "payload.filename", dims=64, share=0.05)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravelin.llm.contributor_cap import dropped
 
