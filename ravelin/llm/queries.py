@@ -116,6 +116,19 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(selected(docs, planned, seed=8), planned)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.truncation import truncated
+
+    return truncated(_table(spark, sf_dir, "documents"), "doc_id", "text", "source").withColumnRenamed("id", "doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source's documents are cut off, and at which limits."""
+    from ravelin.llm.truncation import rates
+
+    return rates(_table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
 #: Chunks once each, with their place among those of the same file.
 RANKED = """WITH once AS (SELECT DISTINCT id, text, filename, embedding, score, rrf_raw FROM chunks),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY score IS NULL OR isnan(score), CASE WHEN isnan(score) THEN NULL ELSE score END DESC NULLS LAST, id) AS n FROM once)"""
