@@ -80,3 +80,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if a count shows that it's small, else df as it is: Spark then shuffles both sides."""
     return F.broadcast(df) if small(df, rows) else df
+
+
+def pinned(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df as a local table: for a side that's a set of questions or settings, is computed once and is known to be small from then on.
+
+    Raises ValueError if there are more rows; nothing that grows with a corpus belongs here.
+    """
+    got = df.limit(rows + 1).collect()
+    if len(got) > rows:
+        raise ValueError(f"more than {rows} rows; give them in several parts")
+    return df.sparkSession.createDataFrame(got, df.schema)
