@@ -16,6 +16,7 @@ import unicodedata as ud
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,9 @@ def classes() -> list[list[str]]:
     for group in u.classes():
         for x in group:
             members[x].update(group)
+    for x in [x for x in u.up if len(x) > 1]:  # joined letters look like the single ones, whatever script those are from
+        for y in map("".join, product(*(sorted(members.get(c, {c})) for c in x))):
+            u.join(x, y)
     two = [(chr(c), d) for a, b in COMPOSED for c in range(a, b) if len(d := ud.normalize("NFD", chr(c))) > 1 or len((ud.decomposition(chr(c)) or "<").split()) == 2]
     for x, _ in sorted(two, key=lambda p: len(p[1])):  # a letter with one mark comes before those with two, whose base it is
         parts = (ud.decomposition(x) or "<").split()
@@ -189,8 +193,10 @@ class Rewriter:
 
     def __init__(self, counts: dict[str, int]) -> None:
         self.rewrites: dict[str, str] = {}
-        for group in classes():
-            best = min(group, key=lambda x: (-counts.get(x, 0), not x.isascii(), len(x), x))
+        for group in sorted(classes(), key=lambda g: (max(map(len, g)), max(len(ud.normalize("NFD", x)) for x in g))):
+            # a string of signs that others stand for can't itself stand for a class: its signs would be rewritten again
+            settled = [x for x in group if len(x) == 1 or not any(c in self.rewrites for c in x)]
+            best = min(settled, key=lambda x: (-counts.get(x, 0), not x.isascii(), len(x), x))
             self.rewrites |= {x: best for x in group if x != best}
         gone = invisible()
         self.gone = str.maketrans("", "", gone)
@@ -237,18 +243,25 @@ class Rewriter:
         return self._automaton
 
     def __call__(self, text: str | None) -> str | None:
-        """Signs that show nothing go first, for they may stand between a letter and its mark; then the longest pattern wins at each place."""
+        """Signs that show nothing go first, for they may stand between a letter and its mark; then the longest pattern wins at each place.
+
+        Again until nothing changes: a letter that comes out of a joined one may have a mark behind it.
+        """
         if not text:
             return text
         if self.any_gone.search(text):
             text = text.translate(self.gone)
-        if not self.any_pattern.search(text):
-            return text
-        out, done = [], 0
-        for end, (n, y) in self.automaton.iter_long(text):
-            out += (text[done : end + 1 - n], y)
-            done = end + 1
-        return "".join(out) + text[done:]
+        for _ in range(4):
+            if not self.any_pattern.search(text):
+                break
+            out, done = [], 0
+            for end, (n, y) in self.automaton.iter_long(text):
+                out += (text[done : end + 1 - n], y)
+                done = end + 1
+            if not done:
+                break
+            text = "".join(out) + text[done:]
+        return text
 
 
 def fit_rewriter(df: DataFrame, columns: list[str]) -> Rewriter:

@@ -34,6 +34,8 @@ ORDER = 6
 RERANKED = 256
 #: An inverted file with more entries than this, as the pivots' own orders let expect, is split.
 LONG = 20_000
+#: A shuffle partition of inverted files for every so many entries at least: it's held in a task's memory.
+PER_PART = 20_000
 #: Queries of an inverted file looked at together.
 AT_ONCE = 512
 #: Neighbours kept over the wanted number until ties are settled by identifiers.
@@ -104,7 +106,7 @@ def neighbours(df: DataFrame, id_col: str = "id", vector_col: str = "vector", di
 
 def _index(spark, classes: DataFrame, pivots: np.ndarray, length: int, dims: int, k: int, least: float) -> DataFrame:  # noqa: ANN001
     """q, c, cosine: the k best classes that each class meets in the inverted files."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count() // PER_PART)
     entry = np.dtype([("key", "V16"), ("order", "<i4", length), ("vector", "<f4", dims)])
     post = np.dtype([("pivot", "<i4"), ("salt", "<i4"), ("row", "<i4"), ("asks", "?")])
     load = np.bincount(orders(pivots, pivots, length).ravel(), minlength=len(pivots)) * (classes.count() / max(1, len(pivots)))

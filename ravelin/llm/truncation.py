@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from ravelin.runtime import broadcast_if_small, written
 
-#: A limit has at least this many texts, this share of the source's, this many times what the lengths around it have on average, and this
-#: share of them: a limit in bytes is no sharp one in characters.
-LEAST, SHARE, TIMES, OF_AROUND = 5, 0.01, 8, 0.3
+#: A limit has at least this many texts, this share of the source's, this many times what the lengths around it have on average, and as many
+#: times what any of them has: a limit in bytes is no sharp one in characters.
+LEAST, SHARE, TIMES, PEAK = 5, 0.01, 8, 3
 #: Lengths around, and those so close that they count as the limit's own: white space is trimmed, a sign of several bytes is dropped or replaced.
 AROUND, CLOSE = 60, 3
 AT = {"chars": (2, 0), "bytes": (3, 2), "body_chars": (2, 0), "body_bytes": (3, 2)}
@@ -119,9 +119,10 @@ def limits(read: DataFrame) -> DataFrame:
     hist = each.groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
     by = W.partitionBy("source", "unit")
     near = by.orderBy("length")
-    seen = hist.select("*", F.sum("n").over(by).alias("all"), F.sum("n").over(near.rangeBetween(-AROUND, AROUND)).alias("around"), F.sum("n").over(near.rangeBetween(-CLOSE, CLOSE)).alias("close"))
+    highest = F.greatest(*[F.coalesce(F.max("n").over(near.rangeBetween(*w)), F.lit(0)) for w in ((-AROUND, -CLOSE - 1), (CLOSE + 1, AROUND))])
+    seen = hist.select("*", F.sum("n").over(by).alias("all"), F.sum("n").over(near.rangeBetween(-AROUND, AROUND)).alias("around"), F.sum("n").over(near.rangeBetween(-CLOSE, CLOSE)).alias("close"), highest.alias("next"))
     usual = (F.col("around") - F.col("close")) / F.lit(2 * (AROUND - CLOSE))
-    return seen.where((F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("all")) & (F.col("n") >= TIMES * usual) & (F.col("n") >= OF_AROUND * F.col("around"))).select("source", "unit", "length", "n")
+    return seen.where((F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("all")) & (F.col("n") >= TIMES * usual) & (F.col("n") >= PEAK * F.col("next"))).select("source", "unit", "length", "n")
 
 
 def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:

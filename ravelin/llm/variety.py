@@ -79,7 +79,7 @@ def represented(x: np.ndarray, picks: np.ndarray, within: float) -> np.ndarray:
     return np.maximum(count, 1)
 
 
-def _selecting(share: float | None, wanted: int, dims: int, column: str):  # noqa: ANN202
+def _selecting(share: float | None, dims: int, column: str):  # noqa: ANN202
     """For each value of `column`, whose rows come together, its picks with how far they were and how many rows they stand for.
 
     With a share it's round one: plain farthest-first tells how far apart so many picks are, half of which counts as like; rows with many like
@@ -96,7 +96,7 @@ def _selecting(share: float | None, wanted: int, dims: int, column: str):  # noq
                 picks, radius = farthest_first(x, OVER * int(np.ceil(share * len(x))), density(x, within))
                 weight = represented(x, picks, within)
             else:
-                picks, radius = farthest_first(x, min(len(x), wanted), weight)
+                picks, radius = farthest_first(x, len(x), weight)
                 weight = weight[picks]
             t = t.take(pa.array(picks))
             return pa.RecordBatch.from_arrays([t["id"].combine_chunks(), t["vector"].combine_chunks(), t["label"].combine_chunks(), pa.array(weight, pa.float64()), pa.array(radius)], ["id", "vector", "label", "weight", "radius"])
@@ -122,7 +122,7 @@ def varied_subset(df: DataFrame, id_col: str = "id", vector_col: str = "vector",
     """id, label, radius: a varied subset of `share` of the usable points (rounded up), no label in it more than label_share of it.
 
     radius is the distance (of unit vectors) that the point had from those chosen before it in its cell. The limit of a label is lifted, in
-    order of radius, only if the other labels can't fill the subset.
+    order of radius, only if the pool's other labels can't fill the subset.
     """
     rows = directed(df, id_col, vector_col, dims, F.col(label).cast("string").alias("label"))
     # copies and repeated rows: the class's smallest identifier, with the row it comes in
@@ -137,7 +137,7 @@ def varied_subset(df: DataFrame, id_col: str = "id", vector_col: str = "vector",
     if 0 < OVER * wanted < distinct:
         parts = int(np.ceil(distinct / PART))
         cut = pool.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(parts)).cast("int")).repartition(min(parts, 20_000), "part").sortWithinPartitions("part")
-        pool = written(cut.select("id", "vector", "label", "weight", "part").mapInArrow(_selecting(wanted / distinct, wanted, dims, "part"), schema), "pool").withColumn("key", F.md5("vector").cast("binary"))
+        pool = written(cut.select("id", "vector", "label", "weight", "part").mapInArrow(_selecting(wanted / distinct, dims, "part"), schema), "pool").withColumn("key", F.md5("vector").cast("binary"))
     pooled = pool.count()
     cells = max(1, int(np.ceil(pooled / CELL)))
     if cells > 1:
@@ -156,7 +156,7 @@ def varied_subset(df: DataFrame, id_col: str = "id", vector_col: str = "vector",
     else:
         celled = pool.withColumn("cell", F.lit(0).cast("long"))
     ordered = celled.select("id", "vector", "label", "weight", "cell").repartition(min(cells, 20_000), "cell").sortWithinPartitions("cell")
-    ordered = written(ordered.mapInArrow(_selecting(None, 2 * wanted, dims, "cell"), schema).select("id", "label", "radius"), "ordered")
+    ordered = written(ordered.mapInArrow(_selecting(None, dims, "cell"), schema).select("id", "label", "radius"), "ordered")
     most = max(1, int(np.ceil(label_share * wanted)))
     place = F.row_number().over(W.partitionBy("label").orderBy(F.desc("radius"), "id"))
     within = ordered.where("label is not null").withColumn("place", place).where(F.col("place") <= most).drop("place").unionByName(ordered.where("label is null"))
