@@ -99,9 +99,18 @@ def status_matrix(runs: DataFrame, models: list[str]) -> DataFrame:
 
 
 def running_mean(runs: DataFrame) -> DataFrame:
-    """run_id, model, done, mean_s, left_s: after each run its model's mean time so far and what the rest will take at that pace. Null times count as 0."""
-    by = W.partitionBy("model").orderBy("finished_at", "run_id")
-    so_far = by.rowsBetween(W.unboundedPreceding, W.currentRow)
-    t = F.coalesce("result.total_s", F.lit(0.0))
-    rows = runs.select("run_id", "model", F.row_number().over(by).alias("done"), F.avg(t).over(so_far).alias("m"), F.count(F.lit(1)).over(W.partitionBy("model")).alias("all"))
-    return rows.select("run_id", "model", "done", F.round("m", 3).alias("mean_s"), F.round(F.col("m") * (F.col("all") - F.col("done")), 1).alias("left_s"))
+    """run_id, model, done, mean_s, left_s: after each run its model's mean time so far and what the rest will take at that pace. Null times count as 0.
+
+    Sums over hours come first and are added up, then runs within an hour: no task gets all runs of a model. They're sums of decimals, which
+    are the same in any order.
+    """
+    rows = runs.select("run_id", "model", "finished_at", F.coalesce("result.total_s", F.lit(0.0)).cast("decimal(18,6)").alias("t"), F.coalesce(F.date_trunc("hour", "finished_at"), F.lit("0001-01-01").cast("timestamp")).alias("hour"))
+    hours = rows.groupBy("model", "hour").agg(F.sum("t").alias("s"), F.count(F.lit(1)).alias("n"))
+    of = W.partitionBy("model")
+    earlier = of.orderBy("hour").rowsBetween(W.unboundedPreceding, -1)
+    before = hours.select("model", "hour", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("s0"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.sum("n").over(of).alias("all"))
+    by = W.partitionBy("model", "hour").orderBy("finished_at", "run_id")
+    joined = rows.alias("r").join(before.alias("b"), F.col("r.model").eqNullSafe(F.col("b.model")) & (F.col("r.hour") == F.col("b.hour"))).select("r.*", "s0", "n0", "all")
+    so_far = joined.select("run_id", "model", (F.row_number().over(by) + F.col("n0")).cast("int").alias("done"), (F.sum("t").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("s0")).cast("double").alias("s"), "all")
+    mean = F.col("s") / F.col("done")
+    return so_far.select("run_id", "model", "done", F.round(mean, 3).alias("mean_s"), F.round(mean * (F.col("all") - F.col("done")), 1).alias("left_s"))

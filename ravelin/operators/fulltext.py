@@ -112,8 +112,8 @@ def literal_hits(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     return chunks.select("id", F.lower("text").alias("t")).join(asked, F.forall("literal", lambda x: F.col("t").contains(x))).select("query_id", "id")
 
 
-def cascade(chunks: DataFrame, queries: DataFrame, limit: int | Column, strict: bool = True, rank_order: str = "reference", stop: list[str] = rules.STOP_WORDS, technical: list[str] = rules.TECHNICAL_TERMS) -> DataFrame:
-    """query_id, id, stage, bm25, score, rank: up to limit hits of the first stage that finds any; limit may depend on query_id.
+def cascade(chunks: DataFrame, queries: DataFrame, limit: int, strict: bool = True, rank_order: str = "reference", stop: list[str] = rules.STOP_WORDS, technical: list[str] = rules.TECHNICAL_TERMS, own_limit: Column | None = None) -> DataFrame:
+    """query_id, id, stage, bm25, score, rank: up to limit hits of the first stage that finds any; own_limit may lower it by query_id.
 
     Literal hits all score 0.8, in the order of their identifiers. Of other hits the best by BM25 are taken, then ordered by 1 / (1 + BM25):
     the strongest come last, unless rank_order is "best_first".
@@ -122,7 +122,8 @@ def cascade(chunks: DataFrame, queries: DataFrame, limit: int | Column, strict:
     literal = literal_hits(chunks, terms).select("query_id", F.lit(LIKE).alias("stage"), "id", F.lit(None).cast("double").alias("bm25"))
     every = literal.unionByName(scored_stages(chunks, stages(terms, strict)))
     by = W.partitionBy("query_id", "stage").orderBy(F.desc_nulls_last("bm25"), "id")
-    top = every.withColumn("n", F.row_number().over(by)).where(F.col("n") <= limit)
+    top = every.withColumn("n", F.row_number().over(by)).where(F.col("n") <= limit)  # a constant, so that each map task keeps no more either
+    top = top if own_limit is None else top.where(F.col("n") <= own_limit)
     first = top.withColumn("least", F.min("stage").over(W.partitionBy("query_id"))).where("stage = least")
     mapped = first.select("query_id", "id", "stage", "bm25", F.when(F.col("stage") == LIKE, F.lit(LIKE_SCORE)).when(F.col("bm25") > 0, F.round(1 / (1 + F.col("bm25")), 6)).otherwise(0.1).alias("score"))
     order = (F.desc("score"), "id") if rank_order == "reference" else (F.desc_nulls_last("bm25"), "id")
@@ -138,7 +139,7 @@ def two_passes(chunks: DataFrame, queries: DataFrame, limit: int, **how: object)
     key = lambda n: F.struct("query_id", F.lit(n).alias("pass")).alias("query_id")
     wider = queries.select("query_id", "q", T.expanded_query(F.col("q"), stop).alias("x")).where("x <> '' and x <> q").select(key(2), F.col("x").alias("q"))
     both = queries.select(key(1), "q").unionByName(wider)  # one search for both, so that the corpus is scanned once
-    hits = cascade(chunks, both, F.when(F.col("query_id.pass") == 1, limit).otherwise(limit // 2), **how)
+    hits = cascade(chunks, both, limit, own_limit=F.when(F.col("query_id.pass") == 1, limit).otherwise(limit // 2), **how)
     rows = hits.select("query_id.query_id", "id", "query_id.pass", "rank")
     before = F.coalesce(F.max(F.when(F.col("pass") == 1, F.col("rank"))).over(W.partitionBy("query_id")), F.lit(0))
     return rows.select("query_id", "id", "pass", F.when(F.col("pass") == 1, F.col("rank")).otherwise(F.col("rank") + before).cast("int").alias("rank"))

@@ -25,6 +25,11 @@ class Embedder(Protocol):
         """A vector of the same size for each text."""
 
 
+class Generator(Protocol):
+    def generate(self, prompts: list[str]) -> list[str]:
+        """An answer for each prompt."""
+
+
 class HttpReranker:
     """A service that takes {query, chunks: [{id, text}]} and gives the chunks back with rerank_score, in any order."""
 
@@ -121,3 +126,25 @@ def reranked(candidates: DataFrame, reranker: Reranker | None) -> DataFrame:
     got = candidates.groupBy("query_id").applyInPandas(run, schema)
     new = rescaled(got.withColumn("__old", F.col("score")))
     return new.withColumn("score", F.when(F.col("rerank_score").isNull(), F.col("__old")).otherwise(F.col("score"))).drop("__old", "rerank_score")
+
+
+def generated(prompts: DataFrame, generator: Generator, batch: int = 8) -> DataFrame:
+    """prompts (query_id, prompt) with answer and error: a batch that fails has its reason there and null answers. Null prompts have neither."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            answers: list = [None] * len(frame)
+            errors: list = [None] * len(frame)
+            rows = [k for k, p in enumerate(frame["prompt"]) if p is not None]
+            for s in range(0, len(rows), batch):
+                part = rows[s : s + batch]
+                try:
+                    for k, a in zip(part, generator.generate([frame["prompt"].iloc[k] for k in part])):
+                        answers[k] = a
+                except (OSError, ValueError) as e:
+                    for k in part:
+                        errors[k] = str(e)
+            yield frame.assign(answer=answers, error=errors)
+
+    return prompts.mapInPandas(run, StructType([*prompts.schema.fields, StructField("answer", StringType()), StructField("error", StringType())]))

@@ -417,7 +417,7 @@ def status_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.status_matrix(_runs(spark, sf), MODELS)
 
 
-@query(f"""WITH {S.RUN}, r AS (SELECT run_id, model, row_number() OVER w AS done, avg(coalesce(result.total_s, 0)) OVER (w ROWS UNBOUNDED PRECEDING) AS m, count(*) OVER (PARTITION BY model) AS n FROM run WINDOW w AS (PARTITION BY model ORDER BY finished_at, run_id))
+@query(f"""WITH {S.RUN}, r AS (SELECT run_id, model, row_number() OVER w AS done, sum(coalesce(result.total_s, 0)::DECIMAL(18,6)) OVER (w ROWS UNBOUNDED PRECEDING)::DOUBLE / row_number() OVER w AS m, count(*) OVER (PARTITION BY model) AS n FROM run WINDOW w AS (PARTITION BY model ORDER BY finished_at, run_id))
 SELECT run_id, model, done, round(m, 3) AS mean_s, round(m * (n - done), 1) AS left_s FROM r""")
 def running_mean(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.running_mean(_runs(spark, sf))
@@ -460,9 +460,7 @@ def stream_source_scores(spark: SparkSession, sf: str) -> DataFrame:
 def stream_events(spark: SparkSession, sf: str) -> DataFrame:
     """Events by type, from captured lines: rows are written as lines and parsed back."""
     once = events.events_once(table(spark, sf, "sse_events"))
-    done = F.col("type") == events.DONE
-    line = F.concat(F.lit("data: "), F.when(done, F.lit(events.DONE)).otherwise(F.to_json(F.struct("type", "text", "sources", "metrics"))))
-    return events.parsed(once.select("req_id", line.alias("value"))).groupBy("type").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("req_id").alias("requests"))
+    return events.parsed(events.lines(once, "req_id")).groupBy("type").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("req_id").alias("requests"))
 
 
 def queries() -> dict[str, Query]:

@@ -20,6 +20,12 @@ def parsed(lines: DataFrame, line: str = "value") -> DataFrame:
     return kept.select(*[c for c in lines.columns if c != line], *event)
 
 
+def lines(rows: DataFrame, *keep: str) -> DataFrame:
+    """Events (type, text, sources, metrics) as the lines of a stream, in column value; the end mark as such."""
+    event = F.to_json(F.struct("type", "text", "sources", "metrics"))
+    return rows.select(*keep, F.concat(F.lit("data: "), F.when(F.col("type") == DONE, F.lit(DONE)).otherwise(event)).alias("value"))
+
+
 def events_once(events: DataFrame) -> DataFrame:
     """Each event (req_id, seq) as it arrived first."""
     return events.groupBy("req_id", "seq").agg(F.min_by(F.struct("type", "text", "sources", "metrics", "emitted_at"), "arrived_at").alias("e"), F.min("arrived_at").alias("arrived_at")).select("req_id", "seq", "e.*", "arrived_at")

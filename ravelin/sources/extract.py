@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import shutil
 import subprocess
-import tempfile
 import unicodedata
 import zipfile
 from collections.abc import Callable
@@ -72,16 +71,13 @@ def pptx(data: bytes) -> str:
 
 
 def pdf(data: bytes) -> str:
-    """Through the pdftotext program, where there is one."""
+    """Through the pdftotext program, where there is one; it gets the file by its standard input."""
     if not (program := shutil.which("pdftotext")):
         raise ValueError("pdftotext isn't installed")
-    with tempfile.NamedTemporaryFile(suffix=".pdf") as f:  # the program reads files only; it's gone when the text is there
-        f.write(data)
-        f.flush()
-        try:
-            return subprocess.run([program, "-layout", "-enc", "UTF-8", f.name, "-"], capture_output=True, timeout=PDF_TIMEOUT_S, check=True).stdout.decode("utf-8", "replace")
-        except (subprocess.SubprocessError, OSError) as e:
-            raise ValueError(f"pdftotext: {e}") from e
+    try:
+        return subprocess.run([program, "-layout", "-enc", "UTF-8", "-", "-"], input=data, capture_output=True, timeout=PDF_TIMEOUT_S, check=True).stdout.decode("utf-8", "replace")
+    except (subprocess.SubprocessError, OSError) as e:
+        raise ValueError(f"pdftotext: {e}") from e
 
 
 def plain(data: bytes) -> str:
