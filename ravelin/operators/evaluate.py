@@ -113,4 +113,4 @@ def running_mean(runs: DataFrame) -> DataFrame:
     joined = rows.alias("r").join(before.alias("b"), F.col("r.model").eqNullSafe(F.col("b.model")) & (F.col("r.hour") == F.col("b.hour"))).select("r.*", "s0", "n0", "all")
     so_far = joined.select("run_id", "model", (F.row_number().over(by) + F.col("n0")).cast("int").alias("done"), (F.sum("t").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("s0")).cast("double").alias("s"), "all")
     mean = F.col("s") / F.col("done")
-    return so_far.select("run_id", "model", "done", F.round(mean, 3).alias("mean_s"), F.round(mean * (F.col("all") - F.col("done")), 1).alias("left_s"))
+    return so_far.select("run_id", "model", "done", F.round(mean, 3).alias("mean_s"), F.round(mean * (F.col("all") - F.col("done")), 3).alias("left_s"))

@@ -418,7 +418,7 @@ def status_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {S.RUN}, r AS (SELECT run_id, model, row_number() OVER w AS done, sum(coalesce(result.total_s, 0)::DECIMAL(18,6)) OVER (w ROWS UNBOUNDED PRECEDING)::DOUBLE / row_number() OVER w AS m, count(*) OVER (PARTITION BY model) AS n FROM run WINDOW w AS (PARTITION BY model ORDER BY finished_at, run_id))
-SELECT run_id, model, done, round(m, 3) AS mean_s, round(m * (n - done), 1) AS left_s FROM r""")
+SELECT run_id, model, done, round(m, 3) AS mean_s, round(m * (n - done), 3) AS left_s FROM r""")
 def running_mean(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.running_mean(_runs(spark, sf))
 
