@@ -46,7 +46,7 @@ def answers(events: DataFrame) -> DataFrame:
     mine = F.filter("t", lambda x: F.col("stop").isNull() | (x["seq"] < F.col("stop")))
     return rows.select(
         "req_id", F.array_join(F.transform(mine, lambda x: x["text"]), "").alias("answer"), F.size(mine).alias("tokens"), (F.col("fell").isNotNull() & (F.col("stop").isNull() | (F.col("fell") < F.col("stop")))).alias("fallback"),
-        F.col("stop").isNotNull().alias("complete"), T.seconds(F.col("m.search_time")).cast("int").alias("search_ms"), T.seconds(F.col("m.gen_time")).alias("gen_s"), T.seconds(F.col("m.total_time")).alias("total_s"),
+        F.col("stop").isNotNull().alias("complete"), T.seconds(F.col("m.search_time")).try_cast("int").alias("search_ms"), T.seconds(F.col("m.gen_time")).alias("gen_s"), T.seconds(F.col("m.total_time")).alias("total_s"),
     )
 
 
