@@ -47,7 +47,7 @@ def boundaries(codes: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     closed = ends.copy()
     closers = np.isin(codes, (34, 39, 41, 93, 187, 0x2019, 0x201D))
     closed[1:] |= closers[1:] & ends[:-1]
-    before = np.maximum.accumulate(np.where(~white, np.arange(n), -1)) if n else np.zeros(0, int)  # the last sign before white space
+    before = np.maximum.accumulate(np.where(~white, np.arange(n, dtype=np.int32), np.int32(-1))) if n else np.zeros(0, np.int32)  # the last sign before white space
     last = before[after - 1]
     level[after[(last >= 0) & closed[last]]] = SENTENCE
     lines = np.flatnonzero(new) + 1
@@ -56,7 +56,7 @@ def boundaries(codes: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     if len(lines):
         starts = np.concatenate(([0], lines))
         stops = np.concatenate((lines, [n]))
-        filled = np.concatenate(([0], np.cumsum(~white)))
+        filled = np.concatenate(([0], np.cumsum(~white, dtype=np.int32)))
         blank = filled[stops] == filled[starts]
         head = codes[starts]
         if kind == "log":
