@@ -94,6 +94,14 @@ def test_footrule():
     assert S.footrule(a, np.array([[1, 2, 3], [2, 1, 3], [4, 5, 6]])).tolist() == [[0, 2, 12]]
 
 
+def test_places():
+    x = np.random.default_rng(0).normal(size=(103, 8))
+    for parts in (1, 2, 7, 200):
+        n = np.bincount(S.placed(x, parts), minlength=parts)
+        assert n.sum() == 103 and n.max() - n.min() <= (2 if parts < 103 else 1)
+    assert S.placed(x[:0], 3).tolist() == []
+
+
 def test_farthest_first():
     x = np.eye(4, dtype=np.float32)[[0, 0, 1, 2]]
     picks, radius = V.farthest_first(x, 9)
