@@ -138,6 +138,16 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
+def sliced(batch: pa.RecordBatch, column: int | str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many bytes of text, or of one row: bounds what arrays over all signs of a part take."""
+    offsets, _ = utf8(batch.column(column))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def beyond_ascii(data: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
     """Byte position and code point of each sign beyond ASCII in valid UTF-8."""
     at = np.flatnonzero(data[start:stop] >= 0xC0) + start
