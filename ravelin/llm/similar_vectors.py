@@ -30,7 +30,7 @@ from ravelin.runtime import written
 PIVOTS = 16_384
 PER_PIVOT = 16
 #: Pivots that represent a vector, and candidates of an inverted file that are reranked.
-ORDER = 6
+ORDER = 10
 RERANKED = 256
 #: An inverted file with more entries than this, as the pivots' own orders let expect, is split.
 LONG = 20_000
