@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from ravelin.functions import rules
 from ravelin.functions import text as T
+from ravelin.runtime import pinned
+
+#: Reports have at most so many cells of model and category.
+CELLS = 20_000
 
 
 def runs_once(runs: DataFrame) -> DataFrame:
@@ -71,12 +75,13 @@ def summary(runs: DataFrame) -> DataFrame:
 
 def latency(runs: DataFrame) -> DataFrame:
     """model, category, mean_s (1 decimal; 0 where a model has no time in a category), most: the largest mean, at least 1 if all are 0."""
-    mean = runs.groupBy("model", "category").agg(F.avg("result.total_s").alias("m"))
-    grid = runs.select("model").distinct().crossJoin(F.broadcast(runs.select("category").distinct()))  # a few models by a few categories
+    mean = pinned(runs.groupBy("model", "category").agg(F.avg("result.total_s").alias("m")), CELLS)  # models and categories are few
+    categories = F.array(*[F.lit(r["category"]) for r in mean.select("category").distinct().collect()] or [F.lit(None).cast("string")])
+    grid = mean.select("model").distinct().select("model", F.explode(categories).alias("category"))
     full = grid.alias("g").join(mean.alias("m"), F.col("g.model").eqNullSafe(F.col("m.model")) & F.col("g.category").eqNullSafe(F.col("m.category")), "left")
-    rows = full.select("g.model", "g.category", F.round(F.coalesce("m", F.lit(0.0)), 1).alias("mean_s"))
-    most = rows.agg(F.max("mean_s").alias("most")).select(F.when(F.col("most") > 0, F.col("most")).otherwise(1.0).alias("most"))
-    return rows.crossJoin(F.broadcast(most))
+    rows = pinned(full.select("g.model", "g.category", F.round(F.coalesce("m", F.lit(0.0)), 1).alias("mean_s")), CELLS)
+    most = rows.agg(F.max("mean_s").alias("most")).first()["most"]
+    return rows.withColumn("most", F.lit(float(most or 1.0)))
 
 
 def pivoted(rows: DataFrame, by: list[str], models: list[str], value: Column) -> DataFrame:

@@ -40,7 +40,7 @@ def enough_text(text: Column) -> Column:
 
 
 def scanned(spark: SparkSession, root: str, settings: Retrieval = Retrieval()) -> DataFrame:
-    """path, inside (the path below the root), content of all files that count. Filters apply to names, so other files' contents aren't read."""
+    """path, inside (the path below the root), content of all files that count. Names are filtered before anything is extracted."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
     return _filtered(files, spark, root, settings)
 

@@ -57,6 +57,15 @@ def test_grades(spark):
     assert got[4]["keyword_found"] == [] and got[5]["source_missing"] == []
 
 
+def test_latency(spark):
+    rows = [("m", "a", 2.0), ("m", "b", None), ("n", "a", 4.06), (None, None, 1.0)]
+    runs = spark.createDataFrame([(m, c, (t,)) for m, c, t in rows], "model string, category string, result struct<total_s: double>")
+    got = {(r["model"], r["category"]): (r["mean_s"], r["most"]) for r in evaluate.latency(runs).collect()}
+    assert got[("m", "a")] == (2.0, 4.1) and got[("m", "b")] == got[("n", "b")] == (0.0, 4.1) and len(got) == 9
+    assert evaluate.latency(runs.where("false")).count() == 0
+    assert evaluate.latency(runs.where("category = 'b'")).first()["most"] == 1.0
+
+
 def test_runtime(spark):
     df = spark.range(10)
     assert written(df).count() == 10 and shared_dir(spark)
