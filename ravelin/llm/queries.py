@@ -138,8 +138,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
 
+def _looks(text: str) -> str:
+    """SQL of a text's consistent form: the relation's pairs with plain members as replacements, then composed letters."""
+    from ravelin.llm.lookalikes import invisible, pairs
+
+    single = {x: y for x, y in pairs() if len(x) == len(y) == 1}
+    gone = "".join(f"\\x{{{ord(c):X}}}" for c in invisible())
+    form = f"regexp_replace({text}, '[{gone}]', '', 'g')"
+    for x, y in pairs():
+        if len(y) > 1:
+            form = f"replace({form}, '{x}', '{y}')"
+    quoted = ["".join(part).replace("'", "''") for part in (single.keys(), single.values())]
+    return f"nfc_normalize(translate({form}, '{quoted[0]}', '{quoted[1]}'))"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": """WITH once AS (SELECT DISTINCT id, vector::DOUBLE[] AS v FROM test WHERE id IS NOT NULL AND len(vector) = 64
+  AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+c AS (SELECT a.id AS x, b.id AS y, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM once a JOIN once b ON a.id <> b.id),
+n AS (SELECT x, y FROM c WHERE c >= 0.85 QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 10)
+SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM n""",
+        "p6_found": f"""WITH once AS (SELECT DISTINCT id, filename, text FROM chunks WHERE id IS NOT NULL AND filename IS NOT NULL AND text IS NOT NULL),
+f AS MATERIALIZED (SELECT *, {_looks('filename')} AS lf, {_looks('text')} AS lt FROM once)
+SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.lf = b.lf AND a.lt = b.lt AND a.id < b.id WHERE a.filename <> b.filename OR a.text <> b.text""",
         "p3_found": "SELECT DISTINCT id FROM chunks WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 1500",
         "p5_found": f"{RANKED} SELECT id FROM ranked WHERE n > 20 AND filename IS NOT NULL",
         "p5_capped": f"{RANKED} SELECT id, text, filename, embedding, score, rrf_raw FROM ranked WHERE n <= 20 OR filename IS NULL",
