@@ -69,6 +69,23 @@ def test_copies_and_ties(spark):
     assert "far" not in got
 
 
+@pytest.mark.parametrize("jitter", [1e-7, 2e-5, 2.5e-4, 3.5e-4])
+def test_jittered_copies(spark, jitter):
+    """Copies that aren't equal at 6 decimals tie all the same, among themselves and as seen from others."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=16)
+    centre /= np.linalg.norm(centre)
+    vectors = [(centre + jitter * rng.normal(size=16)) * rng.uniform(0.5, 2) for _ in range(400)] + [centre + 0.06 * rng.normal(size=16) for _ in range(60)] + list(rng.normal(size=(100, 16)))
+    ids = [f"{k:04d}" for k in rng.permutation(len(vectors))]
+    rows = [(i, v.astype(np.float32)) for i, v in zip(ids, vectors)]
+    df = table(spark, [(i, [float(x) for x in v], None) for i, v in rows])
+    got = {}
+    for r in S.neighbours(df, "id", "vector", dims=16, k=10, least=0.85, per_pivot=16).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    want = brute(rows, 10, 0.85)
+    assert [i for i, w in want.items() if got.get(i, []) != w] == []
+
+
 def test_salted_files(spark, monkeypatch):
     monkeypatch.setattr(S, "LONG", 20)  # read on the driver
     rows = [(f"{k:04d}", v) for k, (_, v) in enumerate(groups(3, [150, 20]))]
