@@ -5,12 +5,13 @@ Pointer doubling: every boundary of a text points to its farthest legal successo
 row, so its table lives in the task that read it; tables of all texts in an Arrow batch are squared together and nothing is shuffled.
 
 Defined results: null texts and those within the limit (without white space at both ends) give no rows, so an empty input gives an empty
-output; an unknown or null file name is split as plain text; repeated rows are split each time they occur; a stretch without any boundary
+output; the kind of file is read from the name's plain form (problem 6), and an unknown or null file name is split as plain text; repeated rows are split each time they occur; a stretch without any boundary
 is cut at the limit, though never before a combining mark, a joiner or a variation selector, as long as it has other places.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata as ud
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ravelin.llm.lookalikes import Rewriter
+
 #: What counts as white space at the ends of an item.
 ENDS = " \t\r\n"
 #: Levels of boundaries, best first: end of text, block, line, sentence or statement, word, any place.
@@ -153,11 +156,17 @@ def split_oversized(df: DataFrame, id_col: str = "id", text_col: str = "text", n
     if not 0 <= overlap < limit or limit < 2:
         raise ValueError("0 <= overlap < limit")
 
+    plain = Rewriter({})
+
+    def kind(name: str | None) -> str:
+        found = re.search(r"\.([A-Za-z0-9]+)$", plain(name) or "")
+        return found[1].lower() if found else "txt"
+
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces(rows: list[tuple[str, str, str]]) -> pa.RecordBatch:
             texts = [t.strip(ENDS) for _, t, _ in rows]
             lead = [len(t) - len(t.lstrip(ENDS)) for _, t, _ in rows]
-            cuts = list(_cuts(texts, [k for *_, k in rows], limit, overlap, fill))
+            cuts = list(_cuts(texts, [kind(n) for *_, n in rows], limit, overlap, fill))
             total = np.bincount([c[0] for c in cuts], minlength=len(rows))
             made = [(rows[k][0], n, int(total[k]), a + lead[k], b + lead[k], o, texts[k][a - o : b]) for k, n, a, b, o in cuts]
             types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
@@ -174,6 +183,5 @@ def split_oversized(df: DataFrame, id_col: str = "id", text_col: str = "text", n
         if rows:
             yield pieces(rows)
 
-    kind = F.coalesce(F.lower(F.regexp_extract(F.col(name_col), r"\.([A-Za-z0-9]+)$", 1)), F.lit("txt"))
-    long = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"), kind.alias("k")).where(F.char_length(F.btrim("t", F.lit(ENDS))) > limit)
+    long = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"), F.col(name_col).alias("k")).where(F.char_length(F.btrim("t", F.lit(ENDS))) > limit)
     return long.mapInArrow(split, SCHEMA)

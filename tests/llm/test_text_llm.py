@@ -55,6 +55,18 @@ def test_pieces(spark):
     assert pieces(spark, []) == []
 
 
+def test_kinds_of_unusual_names(spark):
+    log = "\n".join(f"[{k:08d}] INFO x {k}\n  more of it. And more\n\n  more" for k in range(200))
+    md = "# H\n\ntext here\n\n```\ncode\n\nmore\n```\n\n" * 120
+    names = {"log": (log, ["a.log", "a.ｌｏｇ", "a.lоg", "a.l\u200bog\ufeff", "a．log", "a.ＬＯＧ"]), "md": (md, ["b.md", "b.ｍd", "b.m\u00add"])}
+    for text, mine in names.values():
+        got = {}
+        for r in pieces(spark, [(n, text, n) for n in mine]):
+            got.setdefault(r["id"], []).append((r["start"], r["end"], r["overlap"]))
+        assert all(got[n] == got[mine[0]] for n in mine)
+        assert got[mine[0]] != [(r["start"], r["end"], r["overlap"]) for r in pieces(spark, [("t", text, "t.txt")])]
+
+
 @settings(max_examples=120, deadline=None)
 @given(st.lists(st.sampled_from(["word", "a.", "\n\n", "\n", " ", "x" * 70, "é", "```\n", "# ", "}"]), max_size=120), st.sampled_from(["txt", "md", "c", "log"]), st.integers(5, 60), st.integers(0, 4))
 def test_cuts(parts, kind, limit, overlap):
