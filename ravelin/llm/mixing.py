@@ -4,7 +4,8 @@ Sainte-Laguë apportionment: the total is cut into blocks of equal tokens, and e
 share / (2 x blocks so far + 1). A source stops at what it can give, its tokens times its highest number of repeats; blocks it can't fill
 stay open and show as missing in the report, they don't inflate other sources. Each source's quota is apportioned in the same way to its
 shards (documents by a hash of their identifier), so that a source with a third of all documents is selected from in many tasks. A shard
-uses all of its documents as often as its quota holds them whole, and a seeded selection of them once more.
+uses all of its documents as often as its quota holds them whole, and a seeded selection of them once more; one that doesn't fit into the rest of
+the quota is passed over for those after it that do.
 
 Defined results: null texts have no tokens and aren't selected, empty ones have 0 and aren't either; a null source is no target; targets
 with a null name are left out, a null share counts as 0 and null repeats as 1; a target named twice has its shares added and its larger repeats;
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from ravelin.llm.tokens import DEFAULT, token_count
 from ravelin.runtime import written
 
-#: Blocks the total is cut into; shares are met to within one block. Targets are a table of settings: more than this many is an error.
+#: Blocks the total is cut into; shares are met to within one block, as far as whole documents allow. Targets are a table of settings: more than this many is an error.
 BLOCKS = 20_000
 TARGETS = 10_000
 #: Documents of a shard on average.
@@ -91,10 +93,27 @@ def selected(docs: DataFrame, planned: DataFrame, seed: int = 0) -> DataFrame:
         return frame.assign(quota=quota)[["source", "shard", "size", "quota"]]
 
     shares = sizes.groupBy("source").applyInPandas(apportion, "source string, shard int, size long, quota long").where("quota > 0")
-    in_order = W.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
-    rows = parts.select("id", "source", "shard", "tokens").join(shares, ["source", "shard"]).withColumn("before", F.sum("tokens").over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("tokens"))
-    again = F.when(F.col("before") + F.col("tokens") / 2 <= F.col("quota") % F.col("size"), 1).otherwise(0)  # the last document is in if more than half of it fits
-    return rows.select("id", "source", "tokens", (F.floor(F.col("quota") / F.col("size")) + again).cast("int").alias("copies")).where("copies > 0")
+    rows = parts.select("id", "source", "shard", F.col("tokens").cast("long").alias("tokens"), F.xxhash64(F.lit(seed), "id").alias("place")).join(shares, ["source", "shard"])
+
+    def filled(t: pa.Table) -> pa.Table:  # one shard of a source
+        t = t.sort_by([("place", "ascending"), ("id", "ascending")])
+        whole, rest = divmod(t["quota"][0].as_py(), t["size"][0].as_py())
+        tokens = t["tokens"].to_pylist()
+        copies = [whole] * len(tokens)
+        left = []
+        for k, n in enumerate(tokens):
+            if n <= rest:
+                copies[k] += 1
+                rest -= n
+            else:
+                left.append(k)
+        if left and tokens[least := min(left, key=tokens.__getitem__)] < 2 * rest:  # the smallest one left is in if more than half of it fits
+            copies[least] += 1
+        return t.select(["id", "source", "tokens"]).append_column("copies", pa.array(copies, pa.int32()))
+
+    kind = rows.schema["id"].dataType.simpleString()
+    mix = rows.groupBy("source", "shard").applyInArrow(filled, f"id {kind}, source string, tokens long, copies int")
+    return mix.select("id", "source", F.col("tokens").cast(docs.schema["tokens"].dataType).alias("tokens"), "copies").where("copies > 0")
 
 
 def report(mix: DataFrame, planned: DataFrame) -> DataFrame:

@@ -250,6 +250,19 @@ def test_mix(spark, ranks):
     assert M.plan(m, targets.where(F.lit(False))).count() == 0
 
 
+def test_smaller_documents_fill_the_rest(spark):
+    """A document that doesn't fit doesn't end the selection: quotas are met to within the smallest document left."""
+    docs = spark.createDataFrame([(k, "a", 1000, k % 2) for k in range(40)] + [(100 + k, "a", 7, k % 2) for k in range(600)] + [(1000, "b", 44200, 0)], "id long, source string, tokens int, shard int")
+    planned = M.plan(docs, spark.createDataFrame([("a", 0.25, 1)], "source string, target_share double, max_repeats int"))
+    quota = planned.first()["quota"]
+    for seed in range(3):
+        mix = M.selected(docs, planned, seed).collect()
+        assert abs(sum(r["tokens"] * r["copies"] for r in mix) - quota) <= 2 * 4
+        assert len(mix) == len({r["id"] for r in mix}) and {r["copies"] for r in mix} == {1}
+    whole = M.selected(docs, planned.withColumn("quota", F.lit(2 * 44200)).withColumn("max_repeats", F.lit(2))).collect()
+    assert len(whole) == 640 and {r["copies"] for r in whole} == {2}
+
+
 # Truncation
 
 WHOLE = ["A sentence.", "Really?", 'He said "no".', "Et ainsi de suite...", "And so on…", "x.\n\nFin de la fiche", "x.\n\nRévision B", "text. [note 4]", "text. (cf. annexe 2)", "| a | b |\n| c | d |", "```c\nx = 1;\n```\n\n", "", "  \n", "-", "[00000001] INFO Abc 0x12 5 V (page 3)", "- a ;\n- b."]
