@@ -49,7 +49,7 @@ WHOLE, CUT, OPEN = 0, 1, 2  # OPEN: whole, unless it's at a limit
 def ending(text: str) -> int:
     """How a text ends, by its last lines. A note in brackets after the end doesn't hide what's before it."""
     end = text.rstrip()
-    if len(end) < 2 or not any(c.isalnum() for c in end[:400] + end[-400:]):
+    if len(end) < 2 or not any(c.isalnum() for c in end):
         return WHOLE
     last = end[end.rfind("\n") + 1 :].strip()
     noted = NOTE.search(last)

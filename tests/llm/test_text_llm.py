@@ -276,6 +276,11 @@ def test_endings():
     assert [t for t in OPEN if T.ending(t) != T.OPEN] == []
 
 
+def test_words_between_long_rules():
+    assert T.ending("=" * 450 + "\nThe words stand in between.\n|" + "-" * 450) == T.CUT
+    assert T.ending("=" * 450 + "\n|" + "-" * 450) == T.WHOLE  # no letter or digit at all
+
+
 def test_limits_and_rates(spark):
     r = random.Random(5)
     rows = [(k, "s", "word " * r.randint(5, 80) + "end.") for k in range(200)]
