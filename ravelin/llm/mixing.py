@@ -2,7 +2,8 @@
 
 Sainte-Laguë apportionment: the total is cut into blocks of equal tokens, and each goes to the source with the highest quotient
 share / (2 x blocks so far + 1). A source stops at what it can give, its tokens times its highest number of repeats; blocks it can't fill
-stay open and show as missing in the report, they don't inflate other sources. Each source's quota is apportioned in the same way to its
+stay open and show as missing in the report, they don't inflate other sources. Which sources are short is read from the mix itself: those that
+are used up, all of their tokens as often as allowed, below their share. Each source's quota is apportioned in the same way to its
 shards (documents by a hash of their identifier), so that a source with a third of all documents is selected from in many tasks. A shard
 uses all of its documents as often as its quota holds them whole, and a seeded selection of them once more; one that doesn't fit into the rest of
 the quota is passed over for those after it that do.
@@ -55,9 +56,9 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def plan(docs: DataFrame, targets: DataFrame, total: int | None = None, blocks: int = BLOCKS) -> DataFrame:
-    """One row per target: source, target_share, max_repeats, available (tokens of all its texts), total, block, quota (tokens), short.
+    """One row per target: source, target_share, max_repeats, available (tokens of all its texts), total, block, seats (blocks won), quota (tokens).
 
-    total defaults to the tokens of all documents, of any source. short says that even with all repeats the source stays below its share.
+    total defaults to the tokens of all documents, of any source. A source that can't reach its share gives all it has: its last block may be a part of one.
     """
     spark = docs.sparkSession
     wanted = targets.select(F.col("source").cast("string").alias("source"), F.coalesce("target_share", F.lit(0.0)).cast("double").alias("w"), F.coalesce("max_repeats", F.lit(1)).cast("int").alias("r")).where("source is not null")
@@ -70,8 +71,9 @@ def plan(docs: DataFrame, targets: DataFrame, total: int | None = None, blocks:
     block = max(1, whole // blocks)
     seats = sainte_lague([w for _, w, _ in rows], whole // block)
     most = [max(0, r) * have.get(s, 0) for s, _, r in rows]
-    made = [(s, w, r, have.get(s, 0), whole, block, min(n * block, m), m < w * whole) for (s, w, r), n, m in zip(rows, seats, most)]
-    return spark.createDataFrame(made, "source string, target_share double, max_repeats int, available long, total long, block long, quota long, short boolean").coalesce(1)
+    quota = [m if m < w * whole else min(n * block, m) for (_, w, _), n, m in zip(rows, seats, most)]
+    made = [(s, w, r, have.get(s, 0), whole, block, n, q) for (s, w, r), n, q in zip(rows, seats, quota)]
+    return spark.createDataFrame(made, "source string, target_share double, max_repeats int, available long, total long, block long, seats long, quota long").coalesce(1)
 
 
 def selected(docs: DataFrame, planned: DataFrame, seed: int = 0) -> DataFrame:
@@ -117,9 +119,12 @@ def selected(docs: DataFrame, planned: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def report(mix: DataFrame, planned: DataFrame) -> DataFrame:
-    """Per target: source, target_share, share (of the mix), share_of_total (of the total aimed at), tokens, documents, most_copies, short."""
+    """Per target: source, target_share, share (of the mix), share_of_total (of the total aimed at), tokens, documents, most_copies, short: it's used up
+    and still below its share."""
     got = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
     rows = F.broadcast(planned).join(got, "source", "left").na.fill(0, ["tokens", "documents", "most_copies"])
     all_ = W.partitionBy(F.lit(0))  # targets are few: a bounded table
     whole = F.sum("tokens").over(all_)
-    return rows.select("source", "target_share", F.round(F.coalesce(F.try_divide("tokens", whole), F.lit(0.0)), 6).alias("share"), F.round(F.coalesce(F.try_divide("tokens", "total"), F.lit(0.0)), 6).alias("share_of_total"), "tokens", "documents", "most_copies", "short")
+    used_up = F.col("tokens") >= F.greatest(F.col("max_repeats"), F.lit(0)) * F.col("available")
+    short = used_up & (F.col("tokens") < F.col("target_share") * F.col("total"))
+    return rows.select("source", "target_share", F.round(F.coalesce(F.try_divide("tokens", whole), F.lit(0.0)), 6).alias("share"), F.round(F.coalesce(F.try_divide("tokens", "total"), F.lit(0.0)), 6).alias("share_of_total"), "tokens", "documents", "most_copies", short.alias("short"))

@@ -116,10 +116,32 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(selected(docs, planned, seed=8), planned)
 
 
+def p8_seats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that each target wins and its quota, with sizes in code points: the apportionment alone, which SQL can do."""
+    from ravelin.llm.mixing import plan
+
+    sized = _table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "source", F.char_length("text").alias("tokens"))
+    return plan(sized, _table(spark, sf_dir, "mix_targets")).select("source", "available", "seats", "quota")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravelin.llm.truncation import truncated
 
-    return truncated(_table(spark, sf_dir, "documents"), "doc_id", "text", "source").withColumnRenamed("id", "doc_id")
+    return truncated(_table(spark, sf_dir, "documents"), "doc_id", "text", "source").select(F.col("id").alias("doc_id"))
+
+
+def p9_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with what each document's finding rests on: a limit of its source, or its ending."""
+    from ravelin.llm.truncation import truncated
+
+    return truncated(_table(spark, sf_dir, "documents"), "doc_id", "text", "source").select(F.col("id").alias("doc_id"), "evidence")
+
+
+def p9_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths at which each source's texts pile up."""
+    from ravelin.llm.truncation import endings, limits
+
+    return limits(endings(_table(spark, sf_dir, "documents"), "doc_id", "text", "source")).drop("field")
 
 
 def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +160,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
 
+BLANK = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Lengths of different texts, by source and unit, and those at which they pile up.
+LIMITS = rf"""WITH t AS (SELECT DISTINCT source, text, regexp_replace(text, '{BLANK}*(\[{BLANK}*(\.\.\.|…){BLANK}*\]|\({BLANK}*(\.\.\.|…){BLANK}*\)|\.\.\.+|…){BLANK}*$', '') AS body FROM documents WHERE text IS NOT NULL),
+u AS (SELECT source, 'chars' AS unit, length(text) AS length FROM t UNION ALL SELECT source, 'bytes', strlen(text) FROM t UNION ALL SELECT source, 'body_chars', length(body) FROM t UNION ALL SELECT source, 'body_bytes', strlen(body) FROM t),
+h AS (SELECT source, unit, length, count(*) AS n FROM u WHERE length > 1 GROUP BY ALL), c AS (SELECT source, unit, count(*) AS lengths FROM h GROUP BY ALL),
+p AS (SELECT a.source, a.unit, a.length, a.n, coalesce(sum(b.n) FILTER (abs(b.length - a.length) > 3), 0) AS around, coalesce(sum(b.n * b.n) FILTER (abs(b.length - a.length) > 3), 0) AS squares, coalesce(max(b.n) FILTER (abs(b.length - a.length) > 3), 0) AS next
+  FROM h a JOIN h b ON a.source IS NOT DISTINCT FROM b.source AND a.unit = b.unit AND b.length BETWEEN a.length - 60 AND a.length + 60 GROUP BY ALL),
+q AS (SELECT *, (around + 1) / 114.0 AS usual, greatest(1, CASE WHEN around > 0 THEN squares / around ELSE 1 END) AS uneven FROM p)
+SELECT q.source, q.unit, q.length, q.n FROM q JOIN c ON q.source IS NOT DISTINCT FROM c.source AND q.unit = c.unit
+WHERE n >= 8 * usual AND n >= 3 * next AND (n * ln(n / usual) - n + usual) / uneven >= ln(lengths / 1e-4)"""
+
+
 def _looks(text: str) -> str:
     """SQL of a text's consistent form: the relation's pairs with plain members as replacements, then composed letters."""
     from ravelin.llm.lookalikes import invisible, pairs
@@ -163,6 +197,16 @@ SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM n""",
 f AS MATERIALIZED (SELECT *, {_looks('filename')} AS lf, {_looks('text')} AS lt FROM once)
 SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.lf = b.lf AND a.lt = b.lt AND a.id < b.id WHERE a.filename <> b.filename OR a.text <> b.text""",
         "p3_found": "SELECT DISTINCT id FROM chunks WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 1500",
+        "p8_found": """WITH size AS (SELECT source, sum(strlen(text)) AS bytes FROM documents GROUP BY source), wanted AS (SELECT source, sum(coalesce(target_share, 0)) AS share, max(coalesce(max_repeats, 1)) AS repeats FROM mix_targets WHERE source IS NOT NULL GROUP BY source)
+SELECT source FROM wanted LEFT JOIN size USING (source) WHERE coalesce(bytes, 0) * repeats < share * (SELECT sum(bytes) FROM size)""",
+        "p8_seats": """WITH size AS (SELECT source, sum(length(text))::BIGINT AS n FROM documents WHERE text IS NOT NULL GROUP BY source),
+w AS (SELECT source, sum(coalesce(target_share, 0)) AS share, max(coalesce(max_repeats, 1)) AS repeats FROM mix_targets WHERE source IS NOT NULL GROUP BY source),
+a AS (SELECT sum(n)::BIGINT AS total, greatest(1, sum(n)::BIGINT // 20000) AS block FROM size),
+x AS (SELECT source, share / (2 * k + 1) AS quotient FROM w, unnest(range(20001)) AS r(k) WHERE share > 0),
+won AS (SELECT source, count(*) AS seats FROM (SELECT * FROM x ORDER BY quotient DESC, source LIMIT (SELECT total // block FROM a)) GROUP BY source)
+SELECT w.source, coalesce(n, 0) AS available, coalesce(seats, 0) AS seats, CASE WHEN coalesce(n, 0) * repeats < share * total THEN coalesce(n, 0) * repeats ELSE least(coalesce(seats, 0) * block, coalesce(n, 0) * repeats) END AS quota
+FROM w LEFT JOIN size USING (source) LEFT JOIN won USING (source), a""",
+        "p9_limits": LIMITS,
         "p5_found": f"{RANKED} SELECT id FROM ranked WHERE n > 20 AND filename IS NOT NULL",
         "p5_capped": f"{RANKED} SELECT id, text, filename, embedding, score, rrf_raw FROM ranked WHERE n <= 20 OR filename IS NULL",
     }

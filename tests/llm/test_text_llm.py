@@ -245,6 +245,9 @@ def test_mix(spark, ranks):
     assert got["big"]["share_of_total"] == pytest.approx(0.5, abs=0.01) and got["mid"]["share_of_total"] == pytest.approx(0.3, abs=0.02)
     assert got["mid"]["most_copies"] <= 3 and got["tiny"]["most_copies"] == 2 and got["tiny"]["documents"] == 4
     assert got["absent"]["tokens"] == got["none"]["tokens"] == 0
+    # what's short is read from the mix: it changes with the selection
+    half = mix.where("id <> 2000")
+    assert not {x["source"]: x for x in M.report(half, planned).collect()}["tiny"]["short"]
     none = M.measured(docs.where(F.lit(False)))
     assert M.report(M.selected(none, M.plan(none, targets)), M.plan(none, targets)).count() == 5
     assert M.plan(m, targets.where(F.lit(False))).count() == 0
@@ -284,13 +287,30 @@ def test_words_between_long_rules():
 def test_limits_and_rates(spark):
     r = random.Random(5)
     rows = [(k, "s", "word " * r.randint(5, 80) + "end.") for k in range(200)]
-    rows += [(1000 + k, "s", ("- item " + "xy " * 90)[:200]) for k in range(20)]  # list items at a limit: only their length tells
+    rows += [(1000 + k, "s", (f"- item {k} " + "xy " * 90)[:200]) for k in range(20)]  # different list items at a limit: only their length tells
     rows += [(2000 + k, "s", f"- item {'z' * k}") for k in range(20)]
     rows += [(3000, None, "cut in the mid"), (3001, "t", None), (3002, "t", " "), (None, "s", "cut in"), (3000, None, "cut in the mid")]
     df = spark.createDataFrame([(i, s, t, 1, True) for i, s, t in rows], "doc_id long, source string, text string, chars int, truncated boolean")
     got = {x["id"] for x in T.truncated(df).collect()}
     assert got == {1000 + k for k in range(20)} | {3000}
+    assert {x["id"]: x["evidence"] for x in T.truncated(df).collect()} == {**{1000 + k: "limit" for k in range(20)}, 3000: "ending"}
     rates = {x["source"]: x for x in T.rates(df).collect()}
+    assert (rates["s"]["by_limit"], rates["s"]["by_ending"], rates[None]["by_ending"]) == (20, 0, 1)
     assert (rates["s"]["documents"], rates["s"]["truncated"], rates["s"]["limit_chars"]) == (240, 20, 200)
     assert rates[None]["share"] == 1.0 and rates["t"]["truncated"] == 0
     assert T.truncated(df.where(F.lit(False))).count() == 0 and T.rates(df.where(F.lit(False))).count() == 0
+
+
+def test_limits_of_rare_cuts_and_several_columns(spark):
+    """A limit stays one however much its source grows, copies of one text make none, and each column has its own."""
+    r = random.Random(6)
+    prose = lambda k: ("word " * r.randint(400, 4000) + f"end {k}.")
+    rows = [(k, "s", prose(k), "a title") for k in range(3000)]
+    rows += [(5000 + k, "s", (f"{k} " + "words go on " * 90)[:800], "x") for k in range(12)]  # 0.4 % of the source
+    rows += [(6000 + k, "s", "the same text, again and again, and", None) for k in range(40)]
+    rows += [(7000 + k, "t", "whole.", (f"- {k} " + "abc def " * 20)[:60]) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, title string")
+    got = {(x["id"], x["field"]): x["evidence"] for x in T.truncated(df, text_col=["text", "title"]).collect()}
+    assert {k[0] for k, v in got.items() if v == T.LIMIT and k[1] == "text"} == {5000 + k for k in range(12)}
+    assert {k[0] for k, v in got.items() if v == T.LIMIT and k[1] == "title"} == {7000 + k for k in range(30)}
+    assert {v for k, v in got.items() if 6000 <= k[0] < 7000} == {T.ENDING}
