@@ -1,8 +1,9 @@
 """Visually identical text with different characters (problem 6).
 
 Look-alike classes come from a union-find over strings and code points, each class gets its most frequent member in the corpus as its
-representative, and a multi-pattern automaton rewrites texts greedily, longest match first. All of it has a bounded size: the classes
-depend on Unicode, not on the corpus, so the driver sees a few thousand counts at most.
+representative, and a multi-pattern automaton rewrites texts greedily, longest match first. Canonically equal texts (order of marks, composed
+letters and syllables of any script) are one from the start: rewriting sees letters apart from their marks, and what comes out is composed. All of it
+has a bounded size: the classes depend on Unicode, not on the corpus, so the driver sees a few thousand counts at most.
 
 Defined results: null stays null and the empty text stays empty; a text without unusual characters comes back unchanged; of members with
 the same count an ASCII one, then the shorter, then the one that sorts first represents the class; other columns pass through untouched.
@@ -24,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ravelin.llm.pairs import member_pairs
 from ravelin.runtime import written
 
 # Letters of other scripts that common fonts draw like a Latin letter.
@@ -73,6 +75,26 @@ def invisible() -> str:
     return "".join(chr(c) for c in range(0x80, 0x1_0000) if ud.category(chr(c)) == "Cf" and not 0x600 <= c <= 0x605 and c not in (0x6DD, 0x70F, 0x8E2)) + INVISIBLE_MORE
 
 
+@lru_cache(1)
+def canonical() -> tuple[frozenset[str], frozenset[str]]:
+    """Code points with which a text may not be in composed form, and those that are taken apart when letters and marks are."""
+    loose, apart = set(), set()
+    seconds = set(map(chr, (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))))  # vowels and finals of syllables
+    for c in range(0x80, sys.maxunicode + 1):
+        x = chr(c)
+        if ud.combining(x):
+            loose.add(x)
+        if 0xAC00 <= c < 0xD7A4:
+            continue  # whole syllables come back as they were
+        parts = ud.decomposition(x)
+        if parts and not parts.startswith("<"):
+            apart.add(x)
+            if ud.normalize("NFC", x) != x:
+                loose.add(x)
+            seconds.update(chr(int(p, 16)) for p in parts.split()[1:])
+    return frozenset(loose | seconds), frozenset(apart)
+
+
 def pairs() -> Iterator[tuple[str, str]]:
     """The look-alike relation before it's closed: pairs of strings that look the same."""
     for c in range(0xFF01, 0xFF5F):
@@ -95,11 +117,11 @@ def pairs() -> Iterator[tuple[str, str]]:
             yield x, chr(int(kind, 16))
 
 
-@lru_cache(1)
-def classes() -> list[list[str]]:
+@lru_cache(4)
+def classes(more: tuple[tuple[str, str], ...] = ()) -> list[list[str]]:
     """The transitive look-alike classes: of code points and short strings first, then of letters with marks over those."""
     u = UnionFind()
-    for x, y in pairs():
+    for x, y in (*pairs(), *more):
         u.join(x, y)
     members: dict[str, set[str]] = defaultdict(set)
     for group in u.classes():
@@ -199,11 +221,16 @@ def member_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 class Rewriter:
-    """Rewrites a text so that each member of a look-alike class becomes the class's representative."""
+    """Rewrites a text so that each member of a look-alike class becomes the class's representative and canonically equal texts become one.
+
+    more: further pairs of strings that look the same, for instance from a public table of confusable signs.
+    """
 
-    def __init__(self, counts: dict[str, int]) -> None:
+    def __init__(self, counts: dict[str, int], more: tuple[tuple[str, str], ...] = ()) -> None:
         self.rewrites: dict[str, str] = {}
-        for group in sorted(classes(), key=lambda g: (max(map(len, g)), max(len(ud.normalize("NFD", x)) for x in g))):
+        # letters with marks follow from their letters, so only strings that nothing takes apart are rewritten
+        bare = [[x for x in group if x and not any(map(ud.combining, x)) and ud.normalize("NFD", x) == x] for group in classes(tuple(more))]
+        for group in sorted((g for g in bare if len(g) > 1), key=lambda g: max(map(len, g))):
             # a string of signs that others stand for can't itself stand for a class: its signs would be rewritten again
             settled = [x for x in group if len(x) == 1 or not any(c in self.rewrites for c in x)]
             best = min(settled, key=lambda x: (-counts.get(x, 0), not x.isascii(), len(x), x))
@@ -211,7 +238,9 @@ class Rewriter:
         gone = invisible()
         self.gone = str.maketrans("", "", gone)
         self.any_gone = re.compile(f"[{re.escape(gone)}]")
-        first = {trigger_of(x) for x in self.rewrites}
+        loose, apart = canonical()
+        signs = {trigger_of(x) for x in self.rewrites}
+        first = signs | loose | {x for x in apart if any(c in signs for c in ud.normalize("NFD", x))}
         self.any_pattern = re.compile(f"[{re.escape(''.join(sorted(first)))}]")
         self.first, self.plain = first, any(x.isascii() for x in first)
         self._automaton = self._unusual = None
@@ -236,7 +265,7 @@ class Rewriter:
         change = np.unique(np.searchsorted(offsets, at[self.unusual[codes]], "right") - 1)
         if not len(change):
             return texts
-        new = [self(x) for x in texts.take(pa.array(change)).to_pylist()]
+        new = [self._settled(x.translate(self.gone) if self.any_gone.search(x) else x) for x in texts.take(pa.array(change)).to_pylist()]
         mask = np.zeros(len(texts), bool)
         mask[change] = True
         return pc.replace_with_mask(texts, pa.array(mask), pa.array(new, texts.type))
@@ -252,31 +281,34 @@ class Rewriter:
             self._automaton.make_automaton()
         return self._automaton
 
-    def __call__(self, text: str | None) -> str | None:
-        """Signs that show nothing go first, for they may stand between a letter and its mark; then the longest pattern wins at each place.
+    def _once(self, text: str) -> str:
+        """Letters apart from their marks, the longest pattern at each place rewritten, and all of it composed again."""
+        text = ud.normalize("NFD", text)
+        out, done = [], 0
+        for end, (n, y) in self.automaton.iter_long(text):
+            out += (text[done : end + 1 - n], y)
+            done = end + 1
+        return ud.normalize("NFC", "".join(out) + text[done:] if done else text)
 
-        Again until nothing changes: a letter that comes out of a joined one may have a mark behind it.
-        """
+    def __call__(self, text: str | None) -> str | None:
+        """Signs that show nothing go first, for they may stand between a letter and its mark. Then again and again until nothing changes: signs of
+        one that was split may join others. Should forms follow each other in a circle, its smallest stands for all of them."""
         if not text:
             return text
         if self.any_gone.search(text):
             text = text.translate(self.gone)
-        for _ in range(4):
-            if not self.any_pattern.search(text):
-                break
-            out, done = [], 0
-            for end, (n, y) in self.automaton.iter_long(text):
-                out += (text[done : end + 1 - n], y)
-                done = end + 1
-            if not done:
-                break
-            text = "".join(out) + text[done:]
-        return text
-
-
-def fit_rewriter(df: DataFrame, columns: list[str]) -> Rewriter:
+        return self._settled(text) if self.any_pattern.search(text) else text
+
+    def _settled(self, text: str) -> str:
+        seen = [text]
+        while (text := self._once(text)) not in seen:
+            seen.append(text)
+        return min(seen[seen.index(text) :])
+
+
+def fit_rewriter(df: DataFrame, columns: list[str], more: tuple[tuple[str, str], ...] = ()) -> Rewriter:
     """The rewriter whose representatives are the most frequent members in these columns. Collects one count per member: bounded by the classes."""
-    return Rewriter({r["member"]: r["n"] for r in member_counts(df, columns).collect()})
+    return Rewriter({r["member"]: r["n"] for r in member_counts(df, columns).collect()}, more)
 
 
 def rewritten(df: DataFrame, columns: list[str], rewriter: Rewriter | None = None) -> DataFrame:
@@ -290,12 +322,8 @@ def rewritten(df: DataFrame, columns: list[str], rewriter: Rewriter | None = Non
     return df.withColumns({c: form(F.col(f"`{c}`")) for c in columns})
 
 
-def same_looking_pairs(df: DataFrame, key: str, columns: list[str], rewriter: Rewriter | None = None) -> DataFrame:
-    """id_a, id_b: rows whose columns all look the same while at least one differs in its stored characters. Rows with a null among key or columns are in no pair.
-
-    Variants (rows with the same stored characters) are joined first and expanded afterwards, so a hot group of exact copies is never joined
-    with itself. Repeated rows count once; the smaller key comes first.
-    """
+def looks(df: DataFrame, key: str, columns: list[str], rewriter: Rewriter | None = None) -> DataFrame:
+    """id, variant, look: digests of a row's columns as they're stored and in their consistent form. Rows with a null among key or columns are left out."""
     raw = df.select(F.col(key).alias("id"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)]).dropna()
     names = [f"c{k}" for k in range(len(columns))]
 
@@ -303,11 +331,32 @@ def same_looking_pairs(df: DataFrame, key: str, columns: list[str], rewriter: Re
         return F.unhex(F.md5(F.concat_ws("\u0001", *[F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)) for c in cols])))
 
     stored = raw.withColumn("variant", digest(*names))
-    rows = written(rewritten(stored, names, rewriter or fit_rewriter(df, columns)).select("id", "variant", digest(*names).alias("look")), "looks")
-    variants = rows.groupBy("look", "variant").agg(F.count(F.lit(1)).alias("n"))
+    return rewritten(stored, names, rewriter or fit_rewriter(df, columns)).select("id", "variant", digest(*names).alias("look"))
+
+
+def same_looking_pairs(df: DataFrame, key: str, columns: list[str], rewriter: Rewriter | None = None) -> DataFrame:
+    """id_a, id_b: rows whose columns all look the same while at least one differs in its stored characters. Rows with a null among key or columns are in no pair.
+
+    Variants (rows with the same stored characters) are joined first and expanded afterwards, in pieces, so a hot group of exact copies is never
+    joined with itself nor in one task. Repeated rows count once; the smaller key comes first. same_looking_classes() has one row a record.
+    """
+    rows = written(looks(df, key, columns, rewriter), "looks")
+    variants = rows.select("look", "variant").distinct()
     several = variants.groupBy("look").agg(F.count(F.lit(1)).alias("v")).where("v > 1").select("look")
-    few = variants.join(several, "look", "left_semi").select("look", "variant")
-    sides = few.select("look", F.col("variant").alias("va")).join(few.select("look", F.col("variant").alias("vb")), "look").where("va < vb").select("va", "vb")
-    members = rows.select("id", "variant").join(few.select("variant"), "variant", "left_semi").distinct()
-    both = sides.join(members.select(F.col("id").alias("x"), F.col("variant").alias("va")), "va").join(members.select(F.col("id").alias("y"), F.col("variant").alias("vb")), "vb")
-    return both.where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    few = written(variants.join(several, "look", "left_semi"), "variants")
+    sides = few.select("look", F.col("variant").alias("a")).join(few.select("look", F.col("variant").alias("b")), "look").where("a < b").select("a", "b")
+    members = rows.join(few.select("variant"), "variant", "left_semi").select("id", F.col("variant").alias("key")).distinct()
+    return member_pairs(sides, members)
+
+
+def same_looking_classes(df: DataFrame, key: str, columns: list[str], rewriter: Rewriter | None = None) -> DataFrame:
+    """id, class_id, members, variants, copies, links: one row for each identifier with all columns; class_id is the smallest identifier that looks like it.
+
+    members counts the class's identifiers, variants its different stored forms, copies those identifiers stored with exactly this form and links the
+    others, that look the same though their characters differ. An identifier that comes with several forms is in the class of its smallest digest.
+    """
+    rows = written(looks(df, key, columns, rewriter).groupBy("id").agg(F.min(F.struct("look", "variant")).alias("r")).select("id", "r.*"), "looks")
+    variants = rows.groupBy("look", "variant").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
+    found = variants.groupBy("look").agg(F.sum("copies").alias("members"), F.count(F.lit(1)).alias("variants"), F.min("least").alias("class_id"))
+    named = variants.join(found, "look").select("variant", "class_id", "members", "variants", "copies", (F.col("members") - F.col("copies")).alias("links"))
+    return rows.select("id", "variant").join(named, "variant").drop("variant")

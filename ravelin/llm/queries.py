@@ -73,6 +73,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looking_pairs(_table(spark, sf_dir, "chunks"), "id", ["filename", "text"])
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per chunk with the class of chunks that look the same."""
+    from ravelin.llm.lookalikes import same_looking_classes
+
+    return same_looking_classes(_table(spark, sf_dir, "chunks"), "id", ["filename", "text"])
+
+
+def p6_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with both fields in their consistent form."""
+    from ravelin.llm.lookalikes import rewritten
+
+    return rewritten(_table(spark, sf_dir, "chunks").select("id", "filename", "text").distinct(), ["filename", "text"])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_containers(spark, sf_dir).where("pieces > 1 and piece = 0").select(F.col("id").alias("doc_id"))
 
@@ -172,18 +186,29 @@ SELECT q.source, q.unit, q.length, q.n FROM q JOIN c ON q.source IS NOT DISTINCT
 WHERE n >= 8 * usual AND n >= 3 * next AND (n * ln(n / usual) - n + usual) / uneven >= ln(lengths / 1e-4)"""
 
 
+# Letters of other scripts beside the Latin ones they look like, by script, and joined letters. Written for the SQL alone: it shares no
+# table with the operator.
+LETTERS = (
+    ("АВЕІЈКМНОРЅСТХҮԚԜӀ", "ABEIJKMHOPSCTXYQWI"), ("асԁеһіјорԛѕԝху", "acdehijopqswxy"),
+    ("ΑΒϹΕΗΙͿΚΜΝΟΡΤΧΥΖ", "ABCEHIJKMNOPTXYZ"), ("ϲϳο", "cjo"), ("Օօ", "Oo"), ("ѐёїӓӧόὸ", "èëïäöóò"), ("µ", "μ"),
+)
+JOINED = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬆ", "st"), ("ĳ", "ij"), ("Ĳ", "IJ"))
+
+
 def _looks(text: str) -> str:
-    """SQL of a text's consistent form: the relation's pairs with plain members as replacements, then composed letters."""
-    from ravelin.llm.lookalikes import invisible, pairs
+    """SQL of a text's consistent form: without signs that show nothing, plain letters and spaces, joined letters apart, marks composed."""
+    form = rf"regexp_replace({text}, '[\p{{Cf}}\x{{34F}}\x{{180B}}-\x{{180D}}\x{{180F}}\x{{FE00}}-\x{{FE0F}}]', '', 'g')"
+    for x, y in JOINED:
+        form = f"replace({form}, '{x}', '{y}')"
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+    for x, y in (wide, *LETTERS):
+        form = f"translate({form}, '{x}', '{y}')"
+    return rf"nfc_normalize(regexp_replace(regexp_replace({form}, '[\x{{A0}}\x{{2004}}-\x{{2009}}\x{{202F}}\x{{205F}}]', ' ', 'g'), '[\x{{2010}}\x{{2011}}]', '-', 'g'))"
+
 
-    single = {x: y for x, y in pairs() if len(x) == len(y) == 1}
-    gone = "".join(f"\\x{{{ord(c):X}}}" for c in invisible())
-    form = f"regexp_replace({text}, '[{gone}]', '', 'g')"
-    for x, y in pairs():
-        if len(y) > 1:
-            form = f"replace({form}, '{x}', '{y}')"
-    quoted = ["".join(part).replace("'", "''") for part in (single.keys(), single.values())]
-    return f"nfc_normalize(translate({form}, '{quoted[0]}', '{quoted[1]}'))"
+#: Chunks with file name and text, each once, and their consistent forms.
+LOOKS = f"""WITH once AS (SELECT DISTINCT id, filename, text FROM chunks WHERE id IS NOT NULL AND filename IS NOT NULL AND text IS NOT NULL),
+f AS MATERIALIZED (SELECT *, {_looks("filename")} AS lf, {_looks("text")} AS lt FROM once)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -193,9 +218,13 @@ def oracle_sql() -> dict[str, str]:
 c AS (SELECT a.id AS x, b.id AS y, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM once a JOIN once b ON a.id <> b.id),
 n AS (SELECT x, y FROM c WHERE c >= 0.85 QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 10)
 SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM n""",
-        "p6_found": f"""WITH once AS (SELECT DISTINCT id, filename, text FROM chunks WHERE id IS NOT NULL AND filename IS NOT NULL AND text IS NOT NULL),
-f AS MATERIALIZED (SELECT *, {_looks('filename')} AS lf, {_looks('text')} AS lt FROM once)
-SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.lf = b.lf AND a.lt = b.lt AND a.id < b.id WHERE a.filename <> b.filename OR a.text <> b.text""",
+        "p6_found": f"{LOOKS} SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.lf = b.lf AND a.lt = b.lt AND a.id < b.id WHERE a.filename <> b.filename OR a.text <> b.text",
+        "p6_classes": f"""{LOOKS}, v AS (SELECT lf, lt, filename, text, count(*) AS copies, min(id) AS least FROM f GROUP BY ALL), c AS (SELECT lf, lt, sum(copies)::BIGINT AS members, count(*) AS variants, min(least) AS class_id FROM v GROUP BY ALL)
+SELECT id, class_id, members, variants, copies, members - copies AS links FROM f JOIN v USING (lf, lt, filename, text) JOIN c USING (lf, lt)""",
+        # of the two signs for micro the more frequent one stands for both; all other classes of this corpus have a plain member that's far more frequent
+        "p6_rewritten": f"""WITH once AS (SELECT DISTINCT id, filename, text FROM chunks), t AS (SELECT filename AS t FROM once UNION ALL SELECT text FROM once),
+m AS (SELECT coalesce(sum(length(t) - length(replace(t, 'µ', ''))) >= sum(length(t) - length(replace(t, 'μ', ''))), true) AS micro FROM t)
+SELECT id, CASE WHEN micro THEN replace(f, 'μ', 'µ') ELSE f END AS filename, CASE WHEN micro THEN replace(x, 'μ', 'µ') ELSE x END AS text FROM (SELECT id, {_looks("filename")} AS f, {_looks("text")} AS x FROM once), m""",
         "p3_found": "SELECT DISTINCT id FROM chunks WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 1500",
         "p8_found": """WITH size AS (SELECT source, sum(strlen(text)) AS bytes FROM documents GROUP BY source), wanted AS (SELECT source, sum(coalesce(target_share, 0)) AS share, max(coalesce(max_repeats, 1)) AS repeats FROM mix_targets WHERE source IS NOT NULL GROUP BY source)
 SELECT source FROM wanted LEFT JOIN size USING (source) WHERE coalesce(bytes, 0) * repeats < share * (SELECT sum(bytes) FROM size)""",

@@ -1,4 +1,5 @@
 import random
+import sys
 import unicodedata as ud
 from collections import Counter
 
@@ -11,6 +12,7 @@ from ravelin.llm import contributor_cap as C
 from ravelin.llm import lookalikes as L
 from ravelin.llm import mixing as M
 from ravelin.llm import packing as P
+from ravelin.llm import pairs as X
 from ravelin.llm import splitting as S
 from ravelin.llm import tokens as K
 from ravelin.llm import truncation as T
@@ -154,6 +156,45 @@ def test_rewriting_is_stable(text):
     assert r(ud.normalize("NFC", text)) == r(text)
 
 
+def test_canonically_equal_texts_are_one():
+    """Over all of Unicode: composed and decomposed forms, and forms with their marks in another order, come out the same and stay so."""
+    r = L.Rewriter({})
+    for c in range(sys.maxunicode + 1):
+        x = chr(c)
+        if not 0xD800 <= c < 0xE000 and (ud.decomposition(x) or x in r.first or c % 97 == 0):
+            assert r(x) == r(ud.normalize("NFD", x)) == r(ud.normalize("NFC", x)) == r(r(x)), hex(c)
+    assert len({r(x) for x in ("o\u0302\u0323", "o\u0323\u0302", "\u1ed9", "\u043e\u0302\u0323", "\u00f4\u0323", "\uff4f\u0323\u200b\u0302")}) == 1
+    for x in "가각が\u095c":
+        assert r(x) == r(ud.normalize("NFD", x))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="oоｏôộe\u0302\u0323\u0301가\u1100\u1161\u11a8がか\u3099ﬀﬁﬃfi\u200b", max_size=12), st.sampled_from([{}, {"ﬃ": 9, "ﬀ": 9}, {"ﬁ": 9}, {"о": 9}]))
+def test_one_form_for_all_that_look_the_same(text, counts):
+    r = L.Rewriter(counts)
+    assert r(text) == r(ud.normalize("NFD", text)) == r(ud.normalize("NFC", text)) == r(r(text))
+
+
+def test_more_pairs():
+    r = L.Rewriter({}, (("\U0001d400", "A"),))
+    assert r("\U0001d400BC") == r("ABC") == "ABC" and L.Rewriter({})("\U0001d400") != "A"
+
+
+def test_classes_that_look_the_same(spark):
+    rows = [("1", "a.txt", "fin été"), ("2", "а.txt", "fin été"), ("3", "a.txt", "ﬁn été"), ("4", "a.txt", "fin e\u0301t\u00e9"), ("5", "a.txt", "fin ete"), ("6", None, "x"), ("1", "a.txt", "fin été"), ("7", "a.txt", "fin été"), ("8", "a.txt", "fin été")]
+    df = spark.createDataFrame([(i, f, t, 1) for i, f, t in rows], "id string, filename string, text string, members int")
+    got = {r["id"]: tuple(r)[1:] for r in L.same_looking_classes(df, "id", ["filename", "text"]).collect()}
+    assert got == {**{i: ("1", 6, 4, 3, 3) for i in "178"}, **{i: ("1", 6, 4, 1, 5) for i in "234"}, "5": ("5", 1, 1, 1, 0)}
+    assert L.same_looking_classes(df.where(F.lit(False)), "id", ["filename", "text"]).count() == 0
+    links = sum(r[4] for r in got.values())
+    for piece in (2, 5_000):
+        members = spark.createDataFrame([(f"{k:02d}", k % 3) for k in range(20)], "id string, key int")
+        sides = spark.createDataFrame([(0, 1), (2, 2)], "a int, b int")
+        want = {(min(a, b), max(a, b)) for a in range(20) for b in range(20) if (a % 3, b % 3) in ((0, 1), (2, 2)) and a != b}
+        assert sorted(map(tuple, X.member_pairs(sides, members, piece).collect())) == sorted((f"{a:02d}", f"{b:02d}") for a, b in want)
+    assert len(L.same_looking_pairs(df, "id", ["filename", "text"]).collect()) == links // 2
+
+
 def test_pairs_that_look_the_same(spark):
     rows = [("1", "a.txt", "fin été"), ("2", "а.txt", "fin été"), ("3", "a.txt", "ﬁn été"), ("4", "a.txt", "fin été"), ("5", "a.txt", "fin ete"), ("6", None, "fin été"), ("7", "a.txt", None), (None, "а.txt", "fin été"), ("8", "", ""), ("9", "​", ""), ("1", "a.txt", "fin été")]
     df = spark.createDataFrame([(i, f, t, "x", "y") for i, f, t in rows], "id string, filename string, text string, variant string, look string")
