@@ -3,8 +3,8 @@
 Permutation index: pivots are vectors of the collection, and a vector is represented by its nearest pivots in order. It's posted in the
 inverted files of those, the vectors that meet there are ranked by the footrule distance of their orders, and the best of them are reranked
 by cosine. Pivots are drawn from the collection, so a dense region gets many and inverted files stay of one size; their number grows with
-the collection up to PIVOTS, beyond which the inverted files grow. An inverted file that a sample shows to be much longer is split into
-salted blocks. Equal vectors are one class, so copies are never compared with each other. Classes within NEAR of another one are a family
+the collection up to PIVOTS, beyond which the inverted files grow. An inverted file that a sample shows to be much longer is cut into slices, and
+each pair of slices is a block of its own. Equal vectors are one class, so copies are never compared with each other. Classes within NEAR of another one are a family
 (scaled, re-encoded or jittered copies), of which the index has one entry. How far a family reaches bounds the cosines of its members, and
 whatever can be among the nearest by those bounds is compared member by member, so that ties are settled among all members.
 
@@ -35,8 +35,8 @@ PER_PIVOT = 16
 #: Pivots that represent a vector, and candidates of an inverted file that are reranked.
 ORDER = 10
 RERANKED = 256
-#: An inverted file with more entries than this, as the pivots' own orders let expect, is split.
-LONG = 20_000
+#: An inverted file with more entries than this, as the pivots' own orders let expect, is cut into slices of so many.
+LONG = 10_000
 #: A shuffle partition of inverted files for every so many entries at least: it's held in a task's memory.
 PER_PART = 20_000
 #: Queries of an inverted file looked at together.
@@ -91,26 +91,26 @@ def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return length * (length + 1) - 2 * shared
 
 
-def meeting(order: np.ndarray, x: np.ndarray, no: np.ndarray, reach: np.ndarray, query: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def meeting(order: np.ndarray, x: np.ndarray, no: np.ndarray, reach: np.ndarray, asks: np.ndarray, there: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Of one inverted file: query, candidate, exact cosine and how far cosines of members may be from it, among the RERANKED nearest by footrule.
 
-    Of the single classes up to k for each query, ties by number; of pairs with a family all that can be among the k nearest of a member.
+    Queries are the entries numbered in asks, candidates those in there. Of the single classes up to k for each query, ties by number; of pairs
+    with a family all that can be among the k nearest of a member.
     """
     unit = normed(x)
     single = unit.astype(np.float32)
-    asks = np.flatnonzero(query)
     for s in range(0, len(asks), AT_ONCE):
         q = asks[s : s + AT_ONCE]
-        far = footrule(order[q], order)
-        far[np.arange(len(q)), q] = np.iinfo(np.int16).max
-        near = far <= np.partition(far, RERANKED - 1, axis=1)[:, RERANKED - 1 : RERANKED] if far.shape[1] > RERANKED else far < np.iinfo(np.int16).max
-        near[np.arange(len(q)), q] = False
-        c = np.where(near, single[q] @ single.T, np.float32(-2))
-        slack = reach[q, None] + reach if reach.any() else np.float32(0)
+        near = q[:, None] != there[None, :]
+        far = np.where(near, footrule(order[q], order[there]), np.iinfo(np.int16).max)
+        if len(there) > RERANKED:
+            near &= far <= np.partition(far, RERANKED - 1, axis=1)[:, RERANKED - 1 : RERANKED]
+        c = np.where(near, single[q] @ single[there].T, np.float32(-2))
+        slack = reach[q, None] + reach[there] if reach.any() else np.float32(0)
         low = c - slack
         kth = -np.partition(-low, k - 1, axis=1)[:, k - 1 : k] if k < c.shape[1] else np.float32(-9)
         i, j = np.nonzero(near & (c + slack >= np.maximum(kth, least) - np.float32(CLOSE)))
-        i0, i = i, q[i]
+        i0, i, j = i, q[i], there[j]
         exact = np.round(np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", unit[i[t : t + EXACT]], unit[j[t : t + EXACT]]) for t in range(0, len(i), EXACT))]), 6)
         wide = reach[i].astype(np.float64) + reach[j]
         by = np.lexsort((no[j], -exact, wide > 0, i0))
@@ -118,6 +118,16 @@ def meeting(order: np.ndarray, x: np.ndarray, no: np.ndarray, reach: np.ndarray,
         yield i[by], j[by], exact[by], wide[by]
 
 
+def blocked(pivot: np.ndarray, own: np.ndarray, slices: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For postings of pivots whose files are cut into slices: which posting, block and side. Each pair of slices is a block of its own, side 2 is that
+    of a slice with itself; a block has two slices at most, however long the file is."""
+    which = np.repeat(np.arange(len(pivot)), slices)
+    of = slices[which]
+    other = np.arange(len(which)) - np.repeat(np.cumsum(slices) - slices, slices)
+    low, high = np.minimum(own[which], other), np.maximum(own[which], other)
+    return which, low * of + high, np.where(low == high, 2, np.where(own[which] == high, 1, 0)).astype(np.int8)
+
+
 def led(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The leader of each unit row and how far its family reaches, 0 for single rows: a row that isn't led leads what's left within NEAR of it."""
     leader, reach = np.full(len(x), -1), np.zeros(len(x))
@@ -236,10 +246,10 @@ def _index(spark, classes: DataFrame, pivots: np.ndarray, length: int, dims: int
     """q, c, cosine, wide: the k best single classes that each entry meets in the inverted files (wide is 0), and what it meets of families."""
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count() // PER_PART)
     entry = np.dtype([("no", "<i8"), ("reach", "<f4"), ("order", "<i4", length), ("vector", "<f4", dims)])
-    post = np.dtype([("pivot", "<i4"), ("salt", "<i4"), ("row", "<i4"), ("asks", "?")])
+    post = np.dtype([("pivot", "<i4"), ("block", "<i8"), ("row", "<i4"), ("side", "i1")])
     load = np.bincount(orders(pivots, pivots, length).ravel(), minlength=len(pivots)) * (classes.count() / max(1, len(pivots)))
-    blocks = np.maximum(1, np.ceil(load / LONG)).astype(np.int64)
-    held = spark.sparkContext.broadcast((pivots, blocks, placed(pivots, parts)))
+    slices = np.maximum(1, np.ceil(load / LONG)).astype(np.int64)
+    held = spark.sparkContext.broadcast((pivots, slices, placed(pivots, parts)))
 
     def posted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piv, split, place = held.value
@@ -253,10 +263,10 @@ def _index(spark, classes: DataFrame, pivots: np.ndarray, length: int, dims: int
             pivot = rows["order"].ravel()
             who = np.repeat(np.arange(len(rows)), length)
             many = split[pivot]
-            pivot, who, of = np.repeat(pivot, many), np.repeat(who, many), np.repeat(many, many)
-            salt = np.arange(len(pivot)) - np.repeat(np.cumsum(many) - many, many)
-            own = (rows["no"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32))[who] % of.astype(np.uint64) == salt.astype(np.uint64)  # asks in one block, is found in all
-            part = (place[pivot] + salt) % parts
+            mark = rows["no"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+            which, block, side = blocked(pivot, (mark[who] % many.astype(np.uint64)).astype(np.int64), many)
+            pivot, who = pivot[which], who[which]
+            part = (place[pivot] + block) % parts
             order = np.argsort(part, kind="stable")
             edge = np.searchsorted(part[order], np.arange(parts + 1))
             out = []
@@ -265,7 +275,7 @@ def _index(spark, classes: DataFrame, pivots: np.ndarray, length: int, dims: int
                 if len(mine):
                     there, row = np.unique(who[mine], return_inverse=True)
                     x = np.zeros(len(mine), post)
-                    x["pivot"], x["salt"], x["row"], x["asks"] = pivot[mine], salt[mine], row, own[mine]
+                    x["pivot"], x["block"], x["row"], x["side"] = pivot[mine], block[mine], row, side[mine]
                     out.append((p, rows[there].tobytes(), x.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], y) for j, y in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "entries", "postings"])
 
@@ -281,13 +291,17 @@ def _index(spark, classes: DataFrame, pivots: np.ndarray, length: int, dims: int
             return
         e, p = np.concatenate(entries), np.concatenate(posts)
         entries.clear(), posts.clear()
-        p = p[np.lexsort((p["salt"], p["pivot"]))]
-        edge = np.flatnonzero(np.concatenate(([True], (np.diff(p["pivot"]) != 0) | (np.diff(p["salt"]) != 0), [True])))
+        p = p[np.lexsort((p["side"], p["block"], p["pivot"]))]
+        edge = np.flatnonzero(np.concatenate(([True], (np.diff(p["pivot"]) != 0) | (np.diff(p["block"]) != 0), [True])))
         for a, b in zip(edge, edge[1:]):
-            x = e[p["row"][a:b]]
-            for i, j, c, w in meeting(x["order"], x["vector"], x["no"], x["reach"], p["asks"][a:b], k, least):
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(x["no"][i]), pa.array(x["no"][j]), pa.array(c), pa.array(w)], ["q", "c", "cosine", "wide"])
+            x, side = e[p["row"][a:b]], p["side"][a:b]
+            sides = [np.flatnonzero(side == k) for k in range(3)]
+            for asks, there in ((sides[2], sides[2]), (sides[0], sides[1]), (sides[1], sides[0])):
+                if not len(asks) or not len(there):
+                    continue
+                for i, j, c, w in meeting(x["order"], x["vector"], x["no"], x["reach"], asks, there, k, least):
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(x["no"][i]), pa.array(x["no"][j]), pa.array(c), pa.array(w)], ["q", "c", "cosine", "wide"])
 
     packed = classes.select("no", "reach", "vector").mapInArrow(posted, "part int, entries binary, postings binary")
     pairs = packed.repartitionById(parts, F.col("part")).select("entries", "postings").mapInArrow(met, "q long, c long, cosine double, wide double").distinct()

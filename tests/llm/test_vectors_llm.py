@@ -86,6 +86,19 @@ def test_jittered_copies(spark, jitter):
     assert [i for i, w in want.items() if got.get(i, []) != w] == []
 
 
+def test_blocks_hold_two_slices():
+    rng = np.random.default_rng(3)
+    for n, slices in ((40, 1), (60, 4), (240, 16)):
+        own = rng.integers(0, slices, n)
+        which, block, side = S.blocked(np.zeros(n, np.int64), own, np.full(n, slices))
+        assert max(np.bincount(block)) <= 2 * max(np.bincount(own))
+        met = np.zeros((n, n), int)
+        for b in np.unique(block):
+            for s, t in ((2, 2), (0, 1), (1, 0)):
+                met[np.ix_(which[(block == b) & (side == s)], which[(block == b) & (side == t)])] += 1
+        assert (met == 1).all()
+
+
 def test_salted_files(spark, monkeypatch):
     monkeypatch.setattr(S, "LONG", 20)  # read on the driver
     rows = [(f"{k:04d}", v) for k, (_, v) in enumerate(groups(3, [150, 20]))]
