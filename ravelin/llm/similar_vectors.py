@@ -102,8 +102,8 @@ def meeting(order: np.ndarray, x: np.ndarray, no: np.ndarray, reach: np.ndarray,
     for s in range(0, len(asks), AT_ONCE):
         q = asks[s : s + AT_ONCE]
         near = q[:, None] != there[None, :]
-        far = np.where(near, footrule(order[q], order[there]), np.iinfo(np.int16).max)
-        if len(there) > RERANKED:
+        if len(there) > RERANKED:  # of a shorter file all are reranked, whatever their distance
+            far = np.where(near, footrule(order[q], order[there]), np.iinfo(np.int16).max)
             near &= far <= np.partition(far, RERANKED - 1, axis=1)[:, RERANKED - 1 : RERANKED]
         c = np.where(near, single[q] @ single[there].T, np.float32(-2))
         slack = reach[q, None] + reach[there] if reach.any() else np.float32(0)
