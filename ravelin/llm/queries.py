@@ -61,10 +61,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks that stay, as full records."""
+    """The chunks that stay, as full records. A score that's no number is shown as null with a mark, for tables to be comparable."""
     from ravelin.llm.contributor_cap import capped
 
-    return capped(_table(spark, sf_dir, "chunks"), "filename", "score", "id", cap=20)
+    kept = capped(_table(spark, sf_dir, "chunks"), "filename", "score", "id", cap=20)
+    return kept.withColumns({"score": F.when(~F.isnan("score"), F.col("score")), "score_is_nan": F.coalesce(F.isnan("score"), F.lit(False))})
+
+
+def p5_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many chunks each file name keeps when none may have more than a thousandth of all."""
+    from ravelin.llm.contributor_cap import capped
+
+    return capped(_table(spark, sf_dir, "chunks").select("id", "filename", "score"), "filename", "score", "id", cap=None, share=0.001).groupBy("filename").agg(F.count(F.lit(1)).alias("kept"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,5 +245,6 @@ SELECT w.source, coalesce(n, 0) AS available, coalesce(seats, 0) AS seats, CASE
 FROM w LEFT JOIN size USING (source) LEFT JOIN won USING (source), a""",
         "p9_limits": LIMITS,
         "p5_found": f"{RANKED} SELECT id FROM ranked WHERE n > 20 AND filename IS NOT NULL",
-        "p5_capped": f"{RANKED} SELECT id, text, filename, embedding, score, rrf_raw FROM ranked WHERE n <= 20 OR filename IS NULL",
+        "p5_capped": f"{RANKED} SELECT id, text, filename, embedding, CASE WHEN NOT isnan(score) THEN score END AS score, rrf_raw, coalesce(isnan(score), false) AS score_is_nan FROM ranked WHERE n <= 20 OR filename IS NULL",
+        "p5_share": f"{RANKED} SELECT filename, count(*) AS kept, min(id) AS first_id, max(id) AS last_id FROM ranked, (SELECT greatest(1, floor(0.001 * count(*))) AS cap FROM once) WHERE n <= cap OR filename IS NULL GROUP BY filename",
     }

@@ -3,6 +3,7 @@ import sys
 import unicodedata as ud
 from collections import Counter
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -117,7 +118,35 @@ def test_caps_equal_sorting(spark):
     assert C.capped(twice, cap=None, share=0.01).where("filename = 'big'").count() == 6
 
 
+def test_caps_beyond_a_heap(spark, monkeypatch):
+    """Ranks over ranges keep what heaps keep."""
+    r = random.Random(8)
+    rows = [(f"{k:04d}", r.choice(["big", "big", "big", "a", "b", None]), r.choice([0.1, 0.2, 0.3, None, float("nan"), -1.0, 7.5])) for k in range(700)]
+    df = spark.createDataFrame(rows, "id string, filename string, score double").repartition(5)
+    df = df.unionByName(df)
+    want = sorted(x["id"] for x in C.dropped(df, cap=90).collect())
+    monkeypatch.setattr(C, "HEAP", 10)
+    assert want and sorted(x["id"] for x in C.dropped(df, cap=90).collect()) == want
+    assert C.dropped(df.where(F.lit(False)), cap=90).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 1), st.sampled_from([0.0, 1.0, 2.5, -3.0]), st.integers(0, 30)), max_size=80), st.integers(1, 5), st.integers(1, 9))
+def test_bars_lose_nothing(rows, cap, size):
+    frames = [pd.DataFrame(rows[k : k + size], columns=["who", "last", "score", "id"]) for k in range(0, len(rows), size)]
+    waiting, C.WAITING = C.WAITING, 3
+    try:
+        got = [tuple(x) for f in C._bounded(frames, cap) for x in f.itertuples(index=False)]
+    finally:
+        C.WAITING = waiting
+    want = []
+    for who in "ab":
+        want += sorted({x for x in rows if x[0] == who}, key=lambda x: (x[1], -x[2], x[3]))[:cap]
+    assert sorted(got) == sorted(want)
+
+
 def test_heaps_flush_and_empty(spark, monkeypatch):
+    monkeypatch.setattr(C, "WAITING", 3)
     monkeypatch.setattr(C, "HELD", 5)
     df = spark.createDataFrame([(f"{k:03d}", f"f{k % 9}", float(k % 4)) for k in range(300)], "id string, filename string, score double").repartition(5)
     assert C.dropped(df, cap=3).count() == 300 - 27
