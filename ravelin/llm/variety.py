@@ -28,17 +28,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ravelin.llm.vectors import directed, normed, sample
-from ravelin.runtime import written
+from ravelin.runtime import broadcast_if_small, written
 
-#: Points of a part in round one, of a cell in round two; a cell that gets several times as many is divided by a hash.
+#: Points of a part in round one, of a cell in round two.
 PART = 8192
 CELL = 16_384
 #: How many times its share a part selects.
 OVER = 3
 #: A heavier point, one that stands for more, is picked if it's no more than this share nearer than the farthest.
 SLACK = 0.15
-#: At most so many centres: 1 MB of 64 numbers each. Beyond, cells grow and are divided.
-CENTRES = 4096
+#: At most so many centres: 1 MB of 64 numbers each. Beyond, cells grow and are divided by up to SIDES planes each.
+CENTRES, SIDES = 4096, 16
 #: Steps of distance by which the limit is looked for: a bounded histogram.
 STEPS = 1 << 16
 
@@ -145,17 +145,25 @@ def varied_subset(df: DataFrame, id_col: str = "id", vector_col: str = "vector",
         centres = sample(pool, cells, seed, dims)
         held = df.sparkSession.sparkContext.broadcast(centres)
 
-        @F.arrow_udf("int")
+        directions = np.random.default_rng(seed).normal(size=(dims, SIDES)).astype(np.float32)
+
+        @F.arrow_udf("struct<c: int, sides: int>")
         def nearest(vectors: pa.Array) -> pa.Array:
             x = normed(np.frombuffer(b"".join(vectors.to_pylist()), np.float32).reshape(-1, dims)).astype(np.float32)
-            return pa.array((x @ held.value.T).argmax(axis=1), pa.int32())
-
-        celled = written(pool.select("id", "vector", "label", "weight", "key", nearest("vector").alias("c")), "celled")
-        sizes = celled.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).alias("pieces"))
-        celled = celled.join(F.broadcast(sizes), "c").withColumn("cell", (F.col("c") * 100_003 + F.pmod(F.xxhash64("key"), F.col("pieces"))).cast("long"))
+            c = (x @ held.value.T).argmax(axis=1)
+            sides = ((x - held.value[c]) @ directions > 0) @ (1 << np.arange(SIDES))
+            return pa.StructArray.from_arrays([pa.array(c, pa.int32()), pa.array(sides, pa.int32())], ["c", "sides"])
+
+        celled = written(pool.select("id", "vector", "label", "weight", "key", nearest("vector").alias("x")).select("id", "vector", "label", "weight", "key", "x.c", "x.sides"), "celled")
+        # a cell of several times CELL is divided by the sides of planes through its centre, so that like vectors stay together; what even that leaves too large by a hash
+        planes = celled.groupBy("c").agg(F.least(F.ceil(F.log2(F.count(F.lit(1)) / F.lit(CELL))), F.lit(SIDES)).alias("planes")).where("planes > 0")
+        celled = celled.join(broadcast_if_small(planes), "c", "left").withColumn("part", F.expr(f"c * {1 << SIDES}L + (sides & (shiftleft(1, cast(coalesce(planes, 0) AS int)) - 1))"))
+        celled = written(celled.select("id", "vector", "label", "weight", "key", "part"), "parts")
+        pieces = celled.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * CELL)).alias("pieces")).where("pieces > 1")
+        celled = celled.join(broadcast_if_small(pieces), "part", "left").withColumn("cell", F.col("part") * 4099 + F.pmod(F.xxhash64("key"), F.coalesce("pieces", F.lit(1))))
     else:
         celled = pool.withColumn("cell", F.lit(0).cast("long"))
-    ordered = celled.select("id", "vector", "label", "weight", "cell").repartition(min(cells, 20_000), "cell").sortWithinPartitions("cell")
+    ordered = celled.select("id", "vector", "label", "weight", "cell").repartition(min(max(cells, -(-pooled // CELL)), 20_000), "cell").sortWithinPartitions("cell")
     ordered = written(ordered.mapInArrow(_selecting(None, dims, "cell"), schema).select("id", "label", "radius"), "ordered")
     most = max(1, int(np.ceil(label_share * wanted)))
     place = F.row_number().over(W.partitionBy("label").orderBy(F.desc("radius"), "id"))

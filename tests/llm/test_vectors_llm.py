@@ -153,7 +153,10 @@ def test_varied_subset(spark):
     assert V.varied_subset(df, "id", "vector", dims=16, share=1.0, label_share=0.01).count() == len(rows)
 
 
-def test_varied_subset_in_cells(spark, monkeypatch):
+@pytest.mark.parametrize(("centres", "sides"), [(4096, 16), (2, 16), (2, 0)])
+def test_varied_subset_in_cells(spark, monkeypatch, centres, sides):
+    monkeypatch.setattr(V, "CENTRES", centres)
+    monkeypatch.setattr(V, "SIDES", sides)
     monkeypatch.setattr(V, "PART", 60)
     monkeypatch.setattr(V, "CELL", 40)
     rows = [(f"{k:04d}", [float(x) for x in v], None) for k, (_, v) in enumerate(groups(6, [150, 60, 30, *[5] * 12], spread=0.05))]
