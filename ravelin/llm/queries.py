@@ -48,12 +48,27 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(_table(spark, sf_dir, "chunks"), limit=1500, overlap=150)
 
 
+def p3_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of each chunk give without their overlaps, and whether pieces and overlaps keep their limits."""
+    pieces = p3_pieces(spark, sf_dir)
+    own = F.sort_array(F.collect_set(F.struct("piece_no", F.expr("substring(piece, overlap + 1)").alias("own"))))
+    return pieces.groupBy("id").agg(F.array_join(F.transform(own, lambda x: x["own"]), "").alias("text"), ((F.max(F.char_length("piece")) <= 1500) & (F.max("overlap") <= 150)).alias("within"))
+
+
 def p4_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravelin.llm.variety import varied_subset
 
     return varied_subset(_table(spark, sf_dir, "test"), "id", "vector", "payload.filename", dims=64, share=0.05)
 
 
+def p4_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many points are chosen, and whether any comes twice or any file name has more than its share while others are left."""
+    chosen = p4_subset(spark, sf_dir)
+    of = chosen.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+    most = F.coalesce(F.max(F.when(F.col("label").isNotNull(), F.col("n"))), F.lit(0))
+    return of.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chosen"), F.coalesce(F.sum("ids"), F.lit(0)).alias("ids"), (most <= F.greatest(F.lit(1), F.ceil(0.02 * F.sum("n")))).alias("within"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravelin.llm.contributor_cap import dropped
 
@@ -105,6 +120,20 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), "doc_id", "text", capacity=2048)
 
 
+def p7_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What containers hold of each document: its code points, and whether its pieces follow each other without gap."""
+    by = F.sort_array(F.collect_list(F.struct("piece", "char_start", "char_end", "pieces")))
+    held = p7_containers(spark, sf_dir).groupBy(F.col("id").alias("doc_id")).agg(by.alias("p"))
+    follows = F.forall(F.sequence(F.lit(0), F.size("p") - 1), lambda k: (F.get("p", k)["piece"] == k) & (F.get("p", k)["pieces"] == F.size("p")) & (F.get("p", k)["char_start"] == F.when(k == 0, F.lit(0)).otherwise(F.get("p", k - 1)["char_end"])))
+    return held.select("doc_id", F.element_at("p", -1)["char_end"].alias("chars"), follows.alias("whole"))
+
+
+def p7_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers over their capacity, and whether the room left over is under one in a hundred."""
+    each = p7_containers(spark, sf_dir).groupBy("container").agg(F.sum("tokens").alias("t"))
+    return each.agg(F.count_if(F.col("t") > 2048).alias("over"), (F.sum("t") >= 0.99 * 2048 * (F.count(F.lit(1)) - 1)).alias("filled"))
+
+
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers are."""
     from ravelin.llm.packing import fill_report
@@ -219,13 +248,35 @@ LOOKS = f"""WITH once AS (SELECT DISTINCT id, filename, text FROM chunks WHERE i
 f AS MATERIALIZED (SELECT *, {_looks("filename")} AS lf, {_looks("text")} AS lt FROM once)"""
 
 
+#: Usable points, each once, and their neighbours by brute force.
+USABLE = """WITH once AS (SELECT DISTINCT id, vector::DOUBLE[] AS v FROM test WHERE id IS NOT NULL AND len(vector) = 64
+  AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0)"""
+NEIGHBOURS = f"""{USABLE}, c AS (SELECT a.id AS x, b.id AS y, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM once a JOIN once b ON a.id <> b.id),
+n AS (SELECT x, y, c, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS r FROM c WHERE c >= 0.85 QUALIFY r <= 10)"""
+#: Chunks of 40 words or more as multisets of words, and all pairs of a similarity of 0.7: a prefix join over exact frequencies.
+SIMILAR = rf"""WITH RECURSIVE once AS (SELECT DISTINCT id, text FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT id, unnest(regexp_extract_all(lower({_looks("text")}), '[\p{{L}}\p{{N}}]+')) AS word FROM once), c AS MATERIALIZED (SELECT id, word, count(*) AS k FROM w GROUP BY ALL),
+n AS MATERIALIZED (SELECT id, sum(k)::BIGINT AS n, string_agg(word || ' ' || k, ' ' ORDER BY word) AS key FROM c GROUP BY id HAVING sum(k) >= 40),
+t AS MATERIALIZED (SELECT c.id, n.n, word, unnest(range(k)) AS nth FROM c JOIN n USING (id)), d AS (SELECT word, nth, count(*) AS d FROM t GROUP BY ALL),
+p AS MATERIALIZED (SELECT id, n, word, nth FROM (SELECT t.*, row_number() OVER (PARTITION BY id ORDER BY d, word, nth) AS place FROM t JOIN d USING (word, nth)) WHERE place <= n - ceil(0.7 * n) + 1),
+m AS MATERIALIZED (SELECT DISTINCT a.id AS x, b.id AS y, a.n AS nx, b.n AS ny FROM p a JOIN p b USING (word, nth) WHERE a.id < b.id AND a.n >= 0.7 * b.n AND b.n >= 0.7 * a.n),
+s AS MATERIALIZED (SELECT x, y, nx, ny, sum(least(a.k, b.k)) AS shared FROM m JOIN c a ON a.id = x JOIN c b ON b.id = y AND a.word = b.word GROUP BY ALL HAVING sum(least(a.k, b.k)) >= 0.7 * (nx + ny - sum(least(a.k, b.k))))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": """WITH once AS (SELECT DISTINCT id, vector::DOUBLE[] AS v FROM test WHERE id IS NOT NULL AND len(vector) = 64
-  AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
-c AS (SELECT a.id AS x, b.id AS y, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM once a JOIN once b ON a.id <> b.id),
-n AS (SELECT x, y FROM c WHERE c >= 0.85 QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 10)
-SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM n""",
+        "p1_neighbours": f"{NEIGHBOURS} SELECT x AS id, y AS neighbour, c AS cosine, r AS rank FROM n",
+        "p2_found": f"{SIMILAR} SELECT x AS id_a, y AS id_b FROM s",
+        "p2_groups": f"""{SIMILAR}, e AS MATERIALIZED (SELECT x, y FROM s UNION ALL SELECT y, x FROM s), r(id, other) AS (SELECT id, id FROM n UNION SELECT r.id, e.y FROM r JOIN e ON e.x = r.other),
+g AS (SELECT id, min(other) AS group_id, count(*) AS group_size FROM r GROUP BY id), k AS (SELECT key, count(*) AS copies FROM n GROUP BY key),
+l AS (SELECT e.x AS id, count(DISTINCT b.key) AS links FROM e JOIN n a ON a.id = e.x JOIN n b ON b.id = e.y WHERE a.key <> b.key GROUP BY e.x)
+SELECT i.id, coalesce(group_id, i.id) AS group_id, coalesce(group_size, 1) AS group_size, coalesce(copies, 1) AS copies, coalesce(links, 0) AS links
+FROM (SELECT DISTINCT id FROM chunks WHERE id IS NOT NULL) i LEFT JOIN g USING (id) LEFT JOIN n USING (id) LEFT JOIN k USING (key) LEFT JOIN l USING (id)""",
+        "p3_rejoined": "SELECT id, text, true AS within FROM (SELECT DISTINCT id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM chunks) WHERE length(text) > 1500",
+        "p4_size": f"{USABLE} SELECT ceil(0.05 * count(*))::BIGINT AS chosen, ceil(0.05 * count(*))::BIGINT AS ids, true AS within FROM (SELECT DISTINCT id FROM once)",
+        "p7_rejoined": "SELECT doc_id, length(text) AS chars, true AS whole FROM documents WHERE text <> ''",
+        "p7_limits": "SELECT 0::BIGINT AS over, true AS filled",
+        "p1_found": f"{NEIGHBOURS} SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM n",
         "p6_found": f"{LOOKS} SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.lf = b.lf AND a.lt = b.lt AND a.id < b.id WHERE a.filename <> b.filename OR a.text <> b.text",
         "p6_classes": f"""{LOOKS}, v AS (SELECT lf, lt, filename, text, count(*) AS copies, min(id) AS least FROM f GROUP BY ALL), c AS (SELECT lf, lt, sum(copies)::BIGINT AS members, count(*) AS variants, min(least) AS class_id FROM v GROUP BY ALL)
 SELECT id, class_id, members, variants, copies, members - copies AS links FROM f JOIN v USING (lf, lt, filename, text) JOIN c USING (lf, lt)""",
