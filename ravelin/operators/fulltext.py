@@ -1,11 +1,17 @@
 """Full-text search: prefix terms ranked by BM25, literal search, and the cascade of stages that a question runs through.
 
-All questions are answered at once. The corpus is scanned once: its tokens meet the questions' prefixes in a broadcast join inside the scan's
-stage, and only hits are shuffled. A written index (build_index) holds token counts instead, sorted by term, so that prefixes prune row groups.
+All questions are answered at once, from an index: postings (term, id, tf, dl) and sums over the corpus. A written index (build_index, append_index) is
+sorted by term, so that the prefixes asked for prune row groups, and texts aren't touched at all. Without one the texts are scanned once: their tokens
+meet the prefixes in a broadcast join inside the scan's stage, and only hits are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,8 +23,18 @@ from ravelin.runtime import pinned
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 LIKE, ALL_TECHNICAL, ANY_TECHNICAL, ANY_VALID = range(4)
 LIKE_SCORE = 0.8
-#: Tokens are matched to prefixes by this many first signs, then by the whole prefix.
+#: Tokens are matched to prefixes by up to this many first signs, then by the whole prefix. A shorter prefix is a key of its own length.
 KEY = 3
+#: Up to so many first signs of prefixes are handed to the scan of a written index.
+PUSHED = 400
+
+
+@dataclass(frozen=True)
+class Index:
+    """A written index: postings (term, id, tf, dl), a row for each term of a text, and sums (docs, tokens), any number of rows that add up."""
+
+    postings: DataFrame
+    sums: DataFrame
 
 
 def query_terms(queries: DataFrame, stop: list[str] = rules.STOP_WORDS, technical: list[str] = rules.TECHNICAL_TERMS) -> DataFrame:
@@ -57,36 +73,66 @@ def postings(chunks: DataFrame) -> DataFrame:
     return tokenised(chunks).select("id", "dl", F.explode("terms").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def build_index(chunks: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Writes postings sorted by term and one row of corpus statistics. A prefix is a range of terms: row groups outside are never read."""
+def sums(chunks: DataFrame) -> DataFrame:
+    """docs, tokens: one row."""
+    return tokenised(chunks).agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("tokens"))
+
+
+def _write(chunks: DataFrame, path: str, partitions: int | None, mode: str) -> None:
     rows = postings(chunks)
     by_term = rows.repartitionByRange(partitions, "term") if partitions else rows.repartitionByRange("term")
-    by_term.sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    corpus_stats(chunks).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    by_term.sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{path}/postings")
+    sums(chunks).coalesce(1).write.mode(mode).parquet(f"{path}/sums")
+
+
+def build_index(chunks: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Writes postings sorted by term and sums over the corpus. A prefix is a range of terms: row groups outside are never read."""
+    _write(chunks, path, partitions, "overwrite")
+
+
+def append_index(chunks: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Adds the postings of new texts as a sorted run of their own; what's there stays as it is. build_index brings all runs together again."""
+    _write(chunks, path, partitions, "append")
+
+
+def open_index(spark, path: str) -> Index:  # noqa: ANN001
+    return Index(spark.read.schema("term STRING, id STRING, tf BIGINT, dl INT").parquet(f"{path}/postings"), spark.read.schema("docs BIGINT, tokens BIGINT").parquet(f"{path}/sums"))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """docs, avgdl: one row."""
-    return tokenised(chunks).agg(F.count(F.lit(1)).alias("docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
+    return _stats(sums(chunks))
+
+
+def _stats(parts: DataFrame) -> DataFrame:
+    return parts.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.sum("tokens").alias("t")).select("docs", F.try_divide("t", "docs").alias("avgdl"))
+
+
+def _met(rows: DataFrame, prefixes: list[str]) -> DataFrame:
+    """rows (term, ...) with each prefix that their term starts with. Prefixes are broadcast: a bounded list."""
+    spark = rows.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(p, p[:KEY]) for p in prefixes], "prefix string, k string"))
+    keys = F.array_distinct(F.array(*[F.left("term", F.lit(n)) for n in sorted({min(len(p), KEY) for p in prefixes})]))
+    one = len({min(len(p), KEY) for p in prefixes}) == 1
+    keyed = rows.withColumn("k", F.element_at(keys, 1) if one else F.explode(keys))
+    return keyed.join(wanted, "k").where(F.col("term").startswith(F.col("prefix"))).drop("k", "term")
 
 
 def indexed_hits(index: DataFrame, prefixes: list[str]) -> DataFrame:
-    """prefix, id, tf, dl from a written index, by ranges of terms that the scan can prune."""
-    any_ = F.lit(False)
-    for p in prefixes:
-        any_ = any_ | F.col("term").startswith(p)
-    return index.where(any_).select("id", "tf", "dl", F.explode(F.filter(T.strings(prefixes), lambda p: F.col("term").startswith(p))).alias("prefix")).groupBy("prefix", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    """prefix, id, tf, dl from written postings: by ranges of terms that the scan can prune."""
+    prefixes = sorted(set(filter(None, prefixes)))
+    if not prefixes:
+        return index.limit(0).select(F.col("term").alias("prefix"), "id", "tf", "dl")
+    least = [p for k, p in enumerate(prefixes) if not k or not p.startswith(tuple(prefixes[:k]))] if len(prefixes) <= PUSHED else sorted({p[:1] for p in prefixes})
+    rows = index.where(reduce(Column.__or__, [F.col("term").startswith(p) for p in least])) if len(least) <= PUSHED else index
+    return _met(rows, prefixes).groupBy("prefix", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
 
 
 def prefix_hits(chunks: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """prefix, id, tf, dl: texts with tokens that start with a prefix. Prefixes shorter than KEY signs match nothing longer than they are.
-
-    prefixes is broadcast: a pinned table.
-    """
-    wanted = F.broadcast(prefixes.select("prefix").where("prefix <> ''").distinct().select("prefix", F.left("prefix", F.lit(KEY)).alias("k")))
-    exploded = tokenised(chunks).select("id", "dl", F.explode("terms").alias("term")).withColumn("k", F.left("term", F.lit(KEY)))
-    met = exploded.join(wanted, "k").where(F.col("term").startswith(F.col("prefix")))
-    return met.groupBy("prefix", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    """prefix, id, tf, dl: texts with tokens that start with a prefix, from the texts themselves. prefixes is a set of questions' terms: it's collected."""
+    found = pinned(prefixes.select("prefix").where("prefix <> ''").distinct())
+    rows = tokenised(chunks).select("id", "dl", F.explode("terms").alias("term"))
+    return _met(rows, [r["prefix"] for r in found.collect()]).groupBy("prefix", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")) if not found.isEmpty() else rows.limit(0).select(F.col("term").alias("prefix"), "id", F.lit(0).cast("long").alias("tf"), "dl")
 
 
 def bm25(hits: DataFrame, stats: DataFrame) -> DataFrame:
@@ -98,21 +144,54 @@ def bm25(hits: DataFrame, stats: DataFrame) -> DataFrame:
     return hits.join(weighed, "prefix").select("prefix", "id", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * length)).alias("part"))
 
 
-def scored_stages(chunks: DataFrame, staged: DataFrame) -> DataFrame:
+def scored_stages(chunks: DataFrame, staged: DataFrame, index: Index | None = None) -> DataFrame:
     """query_id, stage, id, bm25 (6 decimals) of the texts that match each stage."""
     staged = pinned(staged)
-    parts = bm25(prefix_hits(chunks, staged), corpus_stats(chunks))
+    if index is None:
+        parts = bm25(prefix_hits(chunks, staged), corpus_stats(chunks))
+    else:
+        parts = bm25(indexed_hits(index.postings, [r["prefix"] for r in staged.select("prefix").distinct().collect()]), _stats(index.sums))
     met = parts.join(F.broadcast(staged), "prefix").groupBy("query_id", "stage", "id").agg(F.sum("part").alias("s"), F.count(F.lit(1)).alias("met"), F.first("need").alias("need"))
     return met.where("met >= need").select("query_id", "stage", "id", F.round("s", 6).alias("bm25"))
 
 
 def literal_hits(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """query_id, id: texts with all literal tokens of a question, without regard to case. Questions without such tokens have none."""
-    asked = F.broadcast(pinned(terms.where(F.size("literal") > 0).select("query_id", F.transform("literal", F.lower).alias("literal"))))
-    return chunks.select("id", F.lower("text").alias("t")).join(asked, F.forall("literal", lambda x: F.col("t").contains(x))).select("query_id", "id")
+    """query_id, id: texts with all literal tokens of a question, without regard to case. Questions without such tokens have none.
 
-
-def cascade(chunks: DataFrame, queries: DataFrame, limit: int, strict: bool = True, rank_order: str = "reference", stop: list[str] = rules.STOP_WORDS, technical: list[str] = rules.TECHNICAL_TERMS, own_limit: Column | None = None) -> DataFrame:
+    One automaton finds the tokens of all questions in a single pass over each text, so work goes with the texts and the hits, not with the questions.
+    """
+    rows = pinned(terms.where(F.size("literal") > 0).select("query_id", F.array_distinct(F.transform("literal", F.lower)).alias("literal"))).collect()
+    kind, ident = terms.schema["query_id"].dataType.simpleString(), chunks.schema["id"].dataType.simpleString()
+    if not rows:
+        return chunks.sparkSession.createDataFrame([], f"query_id {kind}, id {ident}")
+    numbers: dict[str, int] = {}
+    asked: list[tuple[object, int, int]] = []
+    for r in rows:
+        asked += [(r["query_id"], numbers.setdefault(x, len(numbers)), len(r["literal"])) for x in r["literal"]]
+    held = chunks.sparkSession.sparkContext.broadcast(numbers)
+
+    def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        auto = ahocorasick.Automaton()
+        for x, n in held.value.items():
+            auto.add_word(x, n)
+        auto.make_automaton()
+        for batch in batches:
+            ids, which = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                there = {n for _, n in auto.iter(text)}
+                ids += [k] * len(there)
+                which += there
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(which, pa.int32())], ["id", "n"])
+
+    texts = chunks.select("id", F.lower("text").alias("t")).where("t is not null and id is not null")
+    hits = texts.mapInArrow(found, f"id {ident}, n int")
+    wanted = F.broadcast(chunks.sparkSession.createDataFrame(asked, f"query_id {kind}, n int, need int"))  # pinned above
+    return hits.join(wanted, "n").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("met"), F.first("need").alias("need")).where("met = need").select("query_id", "id")
+
+
+def cascade(chunks: DataFrame, queries: DataFrame, limit: int, strict: bool = True, rank_order: str = "reference", stop: list[str] = rules.STOP_WORDS, technical: list[str] = rules.TECHNICAL_TERMS, own_limit: Column | None = None, index: Index | None = None) -> DataFrame:
     """query_id, id, stage, bm25, score, rank: up to limit hits of the first stage that finds any; own_limit may lower it by query_id.
 
     Literal hits all score 0.8, in the order of their identifiers. Of other hits the best by BM25 are taken, then ordered by 1 / (1 + BM25):
@@ -120,7 +199,7 @@ def cascade(chunks: DataFrame, queries: DataFrame, limit: int, strict: bool = Tr
     """
     terms = pinned(query_terms(queries, stop, technical))
     literal = literal_hits(chunks, terms).select("query_id", F.lit(LIKE).alias("stage"), "id", F.lit(None).cast("double").alias("bm25"))
-    every = literal.unionByName(scored_stages(chunks, stages(terms, strict)))
+    every = literal.unionByName(scored_stages(chunks, stages(terms, strict), index))
     by = W.partitionBy("query_id", "stage").orderBy(F.desc_nulls_last("bm25"), "id")
     top = every.withColumn("n", F.row_number().over(by)).where(F.col("n") <= limit)  # a constant, so that each map task keeps no more either
     top = top if own_limit is None else top.where(F.col("n") <= own_limit)

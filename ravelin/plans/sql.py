@@ -95,7 +95,9 @@ def scored(name: str) -> str:
 {name}_f AS (SELECT query_id, stage, every_, list_distinct(list_transform(terms, lambda t: {folded('t')})) AS ps FROM {name}_s
   WHERE len(list_filter(terms, lambda t: NOT regexp_full_match(t, '[A-Za-z0-9_\x{{80}}-\x{{10FFFF}}]+') OR t IN ('AND', 'OR', 'NOT'))) = 0),
 {name}_p AS MATERIALIZED (SELECT query_id, stage, CASE WHEN every_ THEN len(ps) ELSE 1 END AS need, unnest(ps) AS prefix FROM {name}_f),
-{name}_h AS MATERIALIZED (SELECT prefix, id, count(*) AS tf, min(dl) AS dl FROM (SELECT DISTINCT prefix FROM {name}_p WHERE prefix <> '') JOIN post ON left(term, 3) = left(prefix, 3) AND starts_with(term, prefix) GROUP BY ALL),
+{name}_q AS (SELECT DISTINCT prefix FROM {name}_p WHERE prefix <> ''),
+{name}_h AS MATERIALIZED (SELECT prefix, id, count(*) AS tf, min(dl) AS dl FROM (SELECT prefix, id, dl FROM {name}_q JOIN post ON left(term, 3) = left(prefix, 3) AND starts_with(term, prefix) WHERE length(prefix) > 2
+  UNION ALL SELECT prefix, id, dl FROM {name}_q JOIN post ON starts_with(term, prefix) WHERE length(prefix) < 3) GROUP BY ALL),
 {name}_b AS (SELECT h.prefix, h.id, greatest(ln((docs - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) AS part
   FROM {name}_h h JOIN (SELECT prefix, count(*) AS n FROM {name}_h GROUP BY prefix) USING (prefix), stats),
 {name}_m AS MATERIALIZED (SELECT query_id, stage, id, round(sum(part), 6) AS bm25 FROM {name}_p JOIN {name}_b USING (prefix) GROUP BY query_id, stage, id HAVING count(*) >= max(need))"""

@@ -75,7 +75,41 @@ def test_index_on_disk(spark, chunks, tmp_path):
     hits = fulltext.indexed_hits(spark.read.parquet(f"{tmp_path}/postings"), ["alpha", "text"])
     live = fulltext.prefix_hits(chunks, spark.createDataFrame([("alpha",), ("text",)], "prefix string"))
     assert sorted(map(tuple, hits.select("prefix", "id", "tf", "dl").collect())) == sorted(map(tuple, live.select("prefix", "id", "tf", "dl").collect()))
-    assert spark.read.parquet(f"{tmp_path}/stats").first()["docs"] == 7
+    assert fulltext._stats(fulltext.open_index(spark, str(tmp_path)).sums).first()["docs"] == 7
+
+
+def test_index_answers_as_texts_do(spark, chunks, tmp_path):
+    """From a written index, also one that came in two parts, the cascade is what it is from the texts."""
+    fulltext.append_index(chunks.where("id < 'id3'"), str(tmp_path))
+    fulltext.append_index(chunks.where("id >= 'id3'"), str(tmp_path))
+    q = asked(spark, "ALPHA", "Alpha Gamma", "802.1X", "texte text here", None)
+    live = sorted(map(tuple, fulltext.cascade(chunks, q, 40).collect()))
+    assert live and live == sorted(map(tuple, fulltext.cascade(chunks, q, 40, index=fulltext.open_index(spark, str(tmp_path))).collect()))
+
+
+@pytest.mark.parametrize("prefixes", [["ad"], ["a", "ad", "adm", "admux"], ["ad", "xyz"], ["é"]])
+def test_short_prefixes(spark, tmp_path, prefixes):
+    rows = spark.createDataFrame([("1", "adc admux"), ("2", "ad hoc"), ("3", "a b"), ("4", "élan ad ADC")], "id string, text string")
+    words = {"1": ["adc", "admux"], "2": ["ad", "hoc"], "3": ["a", "b"], "4": ["elan", "ad", "adc"]}
+    want = sorted((p, i, n) for p in prefixes for i, ws in words.items() if (n := sum(w.startswith(p) for w in ws)))
+    live = fulltext.prefix_hits(rows, spark.createDataFrame([(p,) for p in prefixes], "prefix string"))
+    assert sorted((r["prefix"], r["id"], r["tf"]) for r in live.collect()) == want
+    fulltext.build_index(rows, str(tmp_path))
+    stored = fulltext.indexed_hits(fulltext.open_index(spark, str(tmp_path)).postings, prefixes)
+    assert sorted((r["prefix"], r["id"], r["tf"]) for r in stored.collect()) == want
+
+
+def test_scan_of_the_index_is_pruned(spark, chunks, tmp_path):
+    fulltext.build_index(chunks, str(tmp_path))
+    plan = fulltext.indexed_hits(fulltext.open_index(spark, str(tmp_path)).postings, ["alpha", "text"])._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,alpha)" in plan
+
+
+def test_literals_overlap_and_repeat(spark):
+    rows = spark.createDataFrame([("1", "x802.1xy and A-B-C"), ("2", "802.1"), ("3", None), ("4", "a-b a-b")], "id string, text string")
+    q = asked(spark, "802.1X", "A-B-C a-b-c", "802.1x A-B-C", "none.here")
+    got = {(r["query_id"], r["id"]) for r in fulltext.literal_hits(rows, fulltext.query_terms(q)).collect()}
+    assert got == {(0, "1"), (1, "1"), (2, "1")}
 
 
 def hits(spark, ids):
