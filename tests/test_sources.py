@@ -1,4 +1,5 @@
 import io
+import os
 import zipfile
 
 import pytest
@@ -123,6 +124,63 @@ def test_store_refuses_other_sizes(spark, tmp_path):
     assert s.vec_dim() == 2 and s.count() == 2
 
 
+def counting(path):
+    """An embedder that notes each text it gets in a file, for it runs in other processes; it fails while `down` exists."""
+
+    class Counting:
+        def embed(self, texts):
+            with open(f"{path}/asked", "a") as f:
+                f.writelines("x\n" for _ in texts)
+            if os.path.exists(f"{path}/down"):
+                raise OSError("down")
+            return [[float(len(t)), 1.0] for t in texts]
+
+    return Counting()
+
+
+def test_inserts_embed_once_and_refill(spark, tmp_path):
+    asked = lambda: len(open(tmp_path / "asked").readlines()) if (tmp_path / "asked").exists() else 0  # noqa: E731, SIM115
+    e = HybridEngine(spark, str(tmp_path / "store"), embedder=counting(str(tmp_path)))
+    rows = spark.createDataFrame([(f"{k}", f"alpha text {k}", "f") for k in range(10)] + [("none", None, "f")], "id string, text string, filename string")
+    assert e.insert(rows) == {"added": 11, "refilled": 0, "without_vector": 0} and asked() == 10
+    assert e.insert(rows.unionByName(rows)) == {"added": 0, "refilled": 0, "without_vector": 0} and asked() == 10
+    (tmp_path / "down").touch()
+    more = spark.createDataFrame([(f"m{k}", f"beta {k}", "g") for k in range(3)], "id string, text string, filename string")
+    assert e.insert(more)["without_vector"] == 3 and asked() == 13
+    (tmp_path / "down").unlink()
+    assert e.insert(more.unionByName(rows)) == {"added": 0, "refilled": 3, "without_vector": 0} and asked() == 16
+    assert e.insert(more)["refilled"] == 0 and asked() == 16
+    s = e.stats().first()
+    assert (s["chunks"], s["with_vector"], s["vec_dim"]) == (14, 13, 2)
+    before = sorted(map(tuple, e.store.text_index().postings.collect()))
+    e.store.compact()
+    assert sorted(map(tuple, e.store.text_index().postings.collect())) == before and e.stats().first() == s and not e.store._exists("refills")
+    (tmp_path / "store" / "_inserting").touch()  # an insert that broke off
+    assert e.store.text_index() is None
+    e.insert(rows)
+    assert sorted(map(tuple, e.store.text_index().postings.collect())) == before
+
+
+def test_search_by_cells(spark, tmp_path):
+    e = HybridEngine(spark, str(tmp_path / "store"), Config(retrieval=Retrieval(approximate=True, ann_threshold=5)), embedder=HashedEmbedder(8))
+    e.insert(spark.createDataFrame([(f"{k:02d}", f"word{k} and word{k + 1}", "f") for k in range(30)], "id string, text string, filename string"))
+    assert e._cells() is None
+    e.index_vectors()
+    q = spark.createDataFrame([(1, "word3 word4 ?")], "query_id int, q string")
+    assert e._cells() is not None and "03" in {r["id"] for r in e.search(q).collect()}
+
+
+def test_answers(spark, tmp_path):
+    class Echo:
+        def generate(self, prompts):
+            return [f"{len(p)} signs" for p in prompts]
+
+    e = HybridEngine(spark, str(tmp_path / "store"))
+    e.insert(spark.createDataFrame([("1", "alpha beta", "f")], "id string, text string, filename string"))
+    got = {r["query_id"]: r for r in e.answer(spark.createDataFrame([(1, "Alpha"), (2, "bonjour")], "query_id int, q string"), Echo()).collect()}
+    assert got[1]["answer"].endswith("signs") and got[2]["answer"] is None and got[2]["decision"] == "small_talk"
+
+
 def test_reranker(spark):
     from ravelin.operators.rerank import reranked
 
