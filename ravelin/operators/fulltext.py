@@ -25,8 +25,8 @@ LIKE, ALL_TECHNICAL, ANY_TECHNICAL, ANY_VALID = range(4)
 LIKE_SCORE = 0.8
 #: Tokens are matched to prefixes by up to this many first signs, then by the whole prefix. A shorter prefix is a key of its own length.
 KEY = 3
-#: Up to so many first signs of prefixes are handed to the scan of a written index.
-PUSHED = 400
+#: Up to so many prefixes are handed to the scan of a written index as well: more leave few row groups out, and each row would be compared with all.
+PUSHED = 24
 
 
 @dataclass(frozen=True)
@@ -112,9 +112,9 @@ def _met(rows: DataFrame, prefixes: list[str]) -> DataFrame:
     """rows (term, ...) with each prefix that their term starts with. Prefixes are broadcast: a bounded list."""
     spark = rows.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(p, p[:KEY]) for p in prefixes], "prefix string, k string"))
-    keys = F.array_distinct(F.array(*[F.left("term", F.lit(n)) for n in sorted({min(len(p), KEY) for p in prefixes})]))
-    one = len({min(len(p), KEY) for p in prefixes}) == 1
-    keyed = rows.withColumn("k", F.element_at(keys, 1) if one else F.explode(keys))
+    lengths = sorted({min(len(p), KEY) for p in prefixes})
+    each = [F.left("term", F.lit(n)) for n in lengths]
+    keyed = rows.withColumn("k", each[0] if len(each) == 1 else F.explode(F.array_distinct(F.array(*each))))
     return keyed.join(wanted, "k").where(F.col("term").startswith(F.col("prefix"))).drop("k", "term")
 
 
@@ -123,16 +123,18 @@ def indexed_hits(index: DataFrame, prefixes: list[str]) -> DataFrame:
     prefixes = sorted(set(filter(None, prefixes)))
     if not prefixes:
         return index.limit(0).select(F.col("term").alias("prefix"), "id", "tf", "dl")
-    least = [p for k, p in enumerate(prefixes) if not k or not p.startswith(tuple(prefixes[:k]))] if len(prefixes) <= PUSHED else sorted({p[:1] for p in prefixes})
+    least = [p for k, p in enumerate(prefixes) if not k or not p.startswith(tuple(prefixes[:k]))]
     rows = index.where(reduce(Column.__or__, [F.col("term").startswith(p) for p in least])) if len(least) <= PUSHED else index
     return _met(rows, prefixes).groupBy("prefix", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
 
 
 def prefix_hits(chunks: DataFrame, prefixes: DataFrame) -> DataFrame:
     """prefix, id, tf, dl: texts with tokens that start with a prefix, from the texts themselves. prefixes is a set of questions' terms: it's collected."""
-    found = pinned(prefixes.select("prefix").where("prefix <> ''").distinct())
+    found = sorted({r["prefix"] for r in pinned(prefixes.select("prefix")).collect()} - {"", None})
     rows = tokenised(chunks).select("id", "dl", F.explode("terms").alias("term"))
-    return _met(rows, [r["prefix"] for r in found.collect()]).groupBy("prefix", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")) if not found.isEmpty() else rows.limit(0).select(F.col("term").alias("prefix"), "id", F.lit(0).cast("long").alias("tf"), "dl")
+    if not found:
+        return rows.limit(0).select(F.col("term").alias("prefix"), "id", F.lit(0).cast("long").alias("tf"), "dl")
+    return _met(rows, found).groupBy("prefix", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def bm25(hits: DataFrame, stats: DataFrame) -> DataFrame:
@@ -150,7 +152,7 @@ def scored_stages(chunks: DataFrame, staged: DataFrame, index: Index | None = No
     if index is None:
         parts = bm25(prefix_hits(chunks, staged), corpus_stats(chunks))
     else:
-        parts = bm25(indexed_hits(index.postings, [r["prefix"] for r in staged.select("prefix").distinct().collect()]), _stats(index.sums))
+        parts = bm25(indexed_hits(index.postings, [r["prefix"] for r in staged.collect()]), _stats(index.sums))
     met = parts.join(F.broadcast(staged), "prefix").groupBy("query_id", "stage", "id").agg(F.sum("part").alias("s"), F.count(F.lit(1)).alias("met"), F.first("need").alias("need"))
     return met.where("met >= need").select("query_id", "stage", "id", F.round("s", 6).alias("bm25"))
 

@@ -30,6 +30,11 @@ class Generator(Protocol):
         """An answer for each prompt."""
 
 
+class Streamer(Protocol):
+    def stream(self, prompt: str) -> Iterator[str]:
+        """The tokens of the answer to a prompt, as they come."""
+
+
 class HttpReranker:
     """A service that takes {query, chunks: [{id, text}]} and gives the chunks back with rerank_score, in any order."""
 
@@ -62,6 +67,39 @@ class HttpEmbedder:
         return got
 
 
+class HttpGenerator:
+    """A service that takes {model, prompt, stream, options} and gives {response}, or as a stream a line {response, done} for each token."""
+
+    def __init__(self, url: str, model: str, timeout_s: float = 120, options: dict | None = None) -> None:
+        self.url, self.model, self.timeout_s, self.options = url, model, timeout_s, options
+
+    def _ask(self, prompt: str, stream: bool):  # noqa: ANN202
+        body = {"model": self.model, "prompt": prompt, "stream": stream} | ({"options": self.options} if self.options else {})
+        return urllib.request.urlopen(urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"}), timeout=self.timeout_s)
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        out = []
+        for prompt in prompts:
+            with self._ask(prompt, False) as r:
+                out.append(json.load(r)["response"])
+        return out
+
+    def stream(self, prompt: str) -> Iterator[str]:
+        """Tokens as they come. Empty ones are left out; a line that can't be read ends the stream."""
+        with self._ask(prompt, True) as r:
+            for line in r:
+                if not line.strip():
+                    continue
+                try:
+                    got = json.loads(line)
+                except ValueError:
+                    return
+                if got.get("response"):
+                    yield got["response"]
+                if got.get("done"):
+                    return
+
+
 class HashedEmbedder:
     """Stand-in without a model: words hashed into a vector of the given size. For tests and offline runs."""
 
@@ -142,9 +180,36 @@ def generated(prompts: DataFrame, generator: Generator, batch: int = 8) -> DataF
                 try:
                     for k, a in zip(part, generator.generate([frame["prompt"].iloc[k] for k in part])):
                         answers[k] = a
-                except (OSError, ValueError) as e:
+                except (OSError, ValueError, KeyError) as e:
                     for k in part:
                         errors[k] = str(e)
             yield frame.assign(answer=answers, error=errors)
 
     return prompts.mapInPandas(run, StructType([*prompts.schema.fields, StructField("answer", StringType()), StructField("error", StringType())]))
+
+
+def streamed(prompts: DataFrame, generator: Streamer) -> DataFrame:
+    """query_id, seq, type, text of prompts (query_id, prompt): an event for each token, one for an error, and [DONE]. Null prompts have no events.
+
+    Events are passed on as they come, a batch at a time, so that a stream of questions can be answered by a stream of events.
+    """
+    kind = prompts.schema["query_id"].dataType.simpleString()
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, prompt in zip(frame["query_id"], frame["prompt"]):
+                if prompt is None:
+                    continue
+                held: list[tuple[str, str | None]] = []
+                n = 0
+                try:
+                    for token in generator.stream(prompt):
+                        held.append(("token", token))
+                        if len(held) == 100:
+                            yield pd.DataFrame([(name, n + k, *e) for k, e in enumerate(held)], columns=["query_id", "seq", "type", "text"])
+                            held, n = [], n + 100
+                except (OSError, ValueError, KeyError) as e:
+                    held.append(("error", str(e)))
+                yield pd.DataFrame([(name, n + k, *e) for k, e in enumerate([*held, ("[DONE]", None)])], columns=["query_id", "seq", "type", "text"])
+
+    return prompts.select("query_id", "prompt").mapInPandas(run, f"query_id {kind}, seq int, type string, text string")

@@ -15,7 +15,7 @@ from ravelin.functions import vectors as V
 from ravelin.operators import chunking, context, dedup, evaluate, fulltext, fusion, mmr, rerank, vector
 from ravelin.plans import engine
 from ravelin.plans import sql as S
-from ravelin.runtime import pinned, written
+from ravelin.runtime import broadcast_if_small, passing, pinned, written
 from ravelin.sources import events, files, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,9 +45,22 @@ def chunks_of(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return table(spark, sf, "chunks").select("id", *columns).dropDuplicates(["id"])
 
 
-def stored_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks as a store has them, each once. A search reads them several times with different columns, so they're deduplicated once."""
-    return written(chunks_of(spark, sf, "text", "filename", "embedding"), "chunks")
+_stores: dict[tuple, store.ChunkStore] = {}
+
+
+def stored(spark: SparkSession, sf: str) -> store.ChunkStore:
+    """All chunks in a store with its full-text index, filled when a session first asks for these tables and kept as long, as a store is.
+
+    The file's time and size are part of its name, so a table that changes is stored anew.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/chunks.parquet")
+    s = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+    key = (spark.sparkContext.applicationId, sf, s.getModificationTime(), s.getLen())
+    if key not in _stores:
+        made = store.ChunkStore(spark, passing(spark, "store"))
+        made.insert(table(spark, sf, "chunks"))
+        _stores[key] = made
+    return _stores[key]
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,6 +153,20 @@ def domain_tag(spark: SparkSession, sf: str) -> DataFrame:
     return chunks_of(spark, sf, "filename").select("id", T.domain(F.col("filename")).alias("domain"))
 
 
+@query(f"WITH {S.CHUNK}, {S.CORPUS} SELECT (SELECT count(*) FROM chunk) AS chunks, (SELECT count(embedding) FROM chunk) AS with_vector, (SELECT count(*) FROM (SELECT DISTINCT term, id FROM post)) AS postings, (SELECT count(*) FROM post)::BIGINT AS tokens, (SELECT count(*) FROM chunk) AS added, 0 AS again")
+def store_insert(spark: SparkSession, sf: str) -> DataFrame:
+    """What a store holds after chunks without vectors, all chunks with theirs, and all chunks once more: inserts skip and refill."""
+    rows = table(spark, sf, "chunks")
+    s = store.ChunkStore(spark, passing(spark, "inserted"))
+    bare = rows.where("id < '8'").withColumn("embedding", F.lit(None).cast("array<float>"))
+    added = s.insert(bare)["added"] + s.insert(rows)["added"]
+    again = s.insert(rows)["added"]
+    s.compact()
+    index = s.text_index()
+    held = s.stats().select("chunks", "with_vector").crossJoin(index.postings.agg(F.count(F.lit(1)).alias("postings"))).crossJoin(index.sums.agg(F.sum("tokens").alias("tokens")))  # one row each
+    return held.withColumns({"added": F.lit(added).cast("long"), "again": F.lit(again)})
+
+
 # Questions
 
 
@@ -200,6 +227,19 @@ for _name, _stage in (("bm25_and", fulltext.ALL_TECHNICAL), ("bm25_or", fulltext
     QUERIES[_name], SQL[_name] = _scored(_stage)
 
 
+OWN = r"own AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id)::INT AS query_id, array_to_string(names[1:2], ' ') AS q FROM (SELECT id, regexp_extract_all(text, '[A-Z][A-Za-z0-9]{4,}') AS names FROM chunk) WHERE len(names) > 1 ORDER BY id LIMIT 48)"
+
+
+@query(f"WITH {S.CHUNK}, {OWN}, {S.CORPUS}, {S.terms('one', 'own')}, {S.scored('one')} SELECT query_id, id, bm25 FROM one_m WHERE stage = {fulltext.ALL_TECHNICAL}")
+def bm25_all_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with both of the first two names of a text, for 48 texts: questions that the strictest stage answers."""
+    names = F.regexp_extract_all("text", F.lit("[A-Z][A-Za-z0-9]{4,}"), F.lit(0))
+    first = chunks_of(spark, sf, "text").select("id", names.alias("names")).where("size(names) > 1").orderBy("id").limit(48)
+    own = pinned(first.select(F.row_number().over(W.orderBy("id")).alias("query_id"), F.array_join(F.slice("names", 1, 2), " ").alias("q")))
+    staged = fulltext.stages(fulltext.query_terms(own)).where(F.col("stage") == fulltext.ALL_TECHNICAL)
+    return fulltext.scored_stages(chunks_of(spark, sf, "text"), staged).select("query_id", "id", "bm25")
+
+
 @query(f"WITH {S.CHUNK}, {S.ASKED}, {S.CORPUS} SELECT docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM post) AS tokens, (SELECT count(DISTINCT term) FROM post) AS terms FROM stats")
 def corpus_statistics(spark: SparkSession, sf: str) -> DataFrame:
     tok = fulltext.tokenised(chunks_of(spark, sf, "text"))
@@ -215,12 +255,21 @@ def term_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {S.CHUNK}, {S.ASKED}, {S.CORPUS}, {S.cascade('one', 'asked', S.FETCH)} SELECT query_id, id, stage, bm25, score, rank FROM one_hits")
 def fts_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """From the written index."""
+    held = stored(spark, sf)
+    return fulltext.cascade(held.chunks(), asked(spark, sf), S.FETCH, index=held.text_index())
+
+
+@query(f"WITH {S.CHUNK}, {S.ASKED}, {S.CORPUS}, {S.cascade('one', 'asked', S.FETCH)} SELECT query_id, id, stage, bm25, score, rank FROM one_hits")
+def fts_cascade_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from the texts alone, without an index."""
     return fulltext.cascade(chunks_of(spark, sf, "text"), asked(spark, sf), S.FETCH)
 
 
 @query(f"WITH {S.CHUNK}, {S.ASKED}, {S.CORPUS}, {S.PASSES} SELECT query_id, id, pass, rank FROM passes")
 def two_pass_fts(spark: SparkSession, sf: str) -> DataFrame:
-    return fulltext.two_passes(chunks_of(spark, sf, "text"), asked(spark, sf), S.FETCH)
+    held = stored(spark, sf)
+    return fulltext.two_passes(held.chunks(), asked(spark, sf), S.FETCH, index=held.text_index())
 
 
 @query(f"WITH {S.CHUNK}, {S.ASKED}, {S.NEAR} SELECT query_id, id, cosine, rank FROM near")
@@ -228,6 +277,19 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return vector.topk(chunks_of(spark, sf, "embedding"), with_vectors(spark, sf, asked(spark, sf)), S.FETCH)
 
 
+@query("SELECT count(*) AS questions, true AS enough FROM (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id % 50 = 0)")
+def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Search in written cells against the exact one: all vectors are indexed, those whose number is divisible by 50 are the questions, and at least
+    nine tenths of their ten nearest must be found."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    path = passing(spark, "cells")
+    vector.build_cells(e, path)
+    q = pinned(e.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("qvec")))
+    exact, found = vector.topk(e, q, 10), vector.indexed_topk(vector.open_cells(spark, path, e.schema["id"].dataType.simpleString()), q, 10)
+    hits = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return hits.agg(F.countDistinct("query_id").alias("questions"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
 @query("SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Cosine of each vector with the next, as a column expression."""
@@ -245,9 +307,10 @@ def vector_mean_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    c, q = stored_chunks(spark, sf), with_vectors(spark, sf, asked(spark, sf))
+    held, q = stored(spark, sf), with_vectors(spark, sf, asked(spark, sf))
+    c = held.chunks()
     kinds = q.select("query_id", T.is_technical(F.col("q")).alias("technical"))
-    return fusion.fused(vector.topk(c, q, S.FETCH), fulltext.two_passes(c, q, S.FETCH), kinds)
+    return fusion.fused(vector.topk(c, q, S.FETCH), fulltext.two_passes(c, q, S.FETCH, index=held.text_index()), kinds)
 
 
 @query(f"{S.HYBRID} SELECT query_id, id, rrf, score FROM fused")
@@ -265,14 +328,18 @@ def rrf_technical(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{S.HYBRID} SELECT query_id, id, rrf, score, place FROM pool")
 def rerank_pool(spark: SparkSession, sf: str) -> DataFrame:
-    return engine.candidates(stored_chunks(spark, sf), with_vectors(spark, sf, asked(spark, sf)), K)
+    return _pool(spark, sf)
+
+
+def _pool(spark: SparkSession, sf: str) -> DataFrame:
+    held = stored(spark, sf)
+    return engine.candidates(held.chunks(), with_vectors(spark, sf, asked(spark, sf)), K, index=held.text_index())
 
 
 def _results(spark: SparkSession, sf: str) -> DataFrame:
     """Results in the order of fusion, as they are without re-ranking and diversification."""
-    c = stored_chunks(spark, sf)
-    found = engine.candidates(c, with_vectors(spark, sf, asked(spark, sf)), K)
-    return c.join(F.broadcast(found), "id").select("query_id", F.col("place").alias("rank"), "id", "filename", "text", "score", "rrf")
+    found = written(_pool(spark, sf), "found")
+    return stored(spark, sf).chunks().join(broadcast_if_small(found), "id").select("query_id", F.col("place").alias("rank"), "id", "filename", "text", "score", "rrf")
 
 
 @query(f"{S.HYBRID} SELECT query_id, rank, id, filename, score, rrf FROM results")
@@ -284,16 +351,15 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def hybrid_answer_sources(spark: SparkSession, sf: str) -> DataFrame:
     """The whole search, with a stand-in re-ranker left out and diversification."""
-    c = stored_chunks(spark, sf)
-    return engine.search(c, with_vectors(spark, sf, asked(spark, sf)), K).drop("text")
+    held = stored(spark, sf)
+    return engine.search(held.chunks(), with_vectors(spark, sf, asked(spark, sf)), K, index=held.text_index()).drop("text")
 
 
 @query()
 def mmr_diversify(spark: SparkSession, sf: str) -> DataFrame:
     """Diversification alone, over the pool."""
-    c = stored_chunks(spark, sf)
-    found = engine.candidates(c, with_vectors(spark, sf, asked(spark, sf)), K)
-    rows = c.drop("text").join(F.broadcast(found), "id").withColumn("has_vector", F.lit(True))
+    found = written(_pool(spark, sf), "found")
+    rows = stored(spark, sf).chunks().drop("text").join(broadcast_if_small(found), "id").withColumn("has_vector", F.lit(True))
     return mmr.diversified(rows, K).select("query_id", "rank", "id", "filename", "score")
 
 
@@ -343,7 +409,14 @@ def answer_gate(spark: SparkSession, sf: str) -> DataFrame:
     return context.decisions(asked(spark, sf), _results(spark, sf), Config().retrieval.min_score)
 
 
-@query()
+VOTED = f"votes AS (SELECT query_id, {COUNTS} FROM results GROUP BY query_id), voted AS (SELECT query_id, CASE WHEN {BEST} = 0 THEN NULL {' '.join(f"WHEN {n} = {BEST} THEN '{n}'" for n, _ in rules.PLATFORMS)} END AS platform FROM votes)"
+KIND = S.case_of("q", rules.QUESTION_KINDS, "general")
+GUIDES = " ".join(f"WHEN '{k}' THEN {S.quoted(v)}" for k, v in context.GUIDES.items())
+
+
+@query(f"""{S.HYBRID}, {CITED}, {VOTED}, body AS (SELECT query_id, string_agg('<source id="' || source_no || '" filename="' || coalesce(filename, '') || '">' || chr(10) || coalesce(text, '') || chr(10) || '</source>' || chr(10) || chr(10), '' ORDER BY source_no) AS context FROM cited GROUP BY query_id)
+SELECT query_id, 'Answer from the sources only and name their files once, at the end.' || chr(10) || CASE {KIND} {GUIDES} ELSE {S.quoted(context.GUIDE)} END || CASE WHEN {KIND} = 'code' AND platform IS NOT NULL THEN chr(10) || 'Platform: ' || platform ELSE '' END
+  || chr(10) || chr(10) || 'SOURCES:' || chr(10) || context || chr(10) || 'QUESTION: ' || q || chr(10) AS prompt FROM asked JOIN body USING (query_id) LEFT JOIN voted USING (query_id)""")
 def answer_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """The prompt of each question that has results."""
     found = _results(spark, sf)

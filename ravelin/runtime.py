@@ -52,12 +52,18 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     The table is deleted when the driver ends. Nothing is cached in executor memory.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ravelin-{name}-{uuid.uuid4().hex}"
+    path = passing(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def passing(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one, which is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/ravelin-{name}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_forget, spark)
     _written.add(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _forget(spark: SparkSession) -> None:
