@@ -247,3 +247,38 @@ def test_answer_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = [tuple(r) for r in spark.sql("SELECT req_id, answer, tokens, complete FROM answers_out").collect()]
     assert got == [(1, "bc", 2, True)]
+
+
+def test_generation_over_http(spark):
+    """Whole answers and streams of tokens from a service; a service that's down is an error, not a failure."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from ravelin.operators.rerank import HttpGenerator, generated, streamed
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            lines = [{"response": "a "}, {"response": ""}, {"response": asked["prompt"]}, {"done": True}, {"response": "late"}] if asked["stream"] else [{"response": f"{asked['model']}: {asked['prompt']}"}]
+            body = "\n".join(map(json.dumps, lines)).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        model = HttpGenerator(f"http://127.0.0.1:{server.server_port}/", "m", timeout_s=20)
+        prompts = spark.createDataFrame([(1, "x"), (2, None)], "query_id int, prompt string")
+        assert [(r["answer"], r["error"]) for r in generated(prompts, model).orderBy("query_id").collect()] == [("m: x", None), (None, None)]
+        assert [tuple(r) for r in streamed(prompts, model).orderBy("seq").collect()] == [(1, 0, "token", "a "), (1, 1, "token", "x"), (1, 2, "[DONE]", None)]
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert generated(prompts, model).where("query_id = 1").first()["error"]
+    assert [r["type"] for r in streamed(prompts, model).orderBy("seq").collect()] == ["error", "[DONE]"]
